@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,3 +54,14 @@ def text_spans(text: str, size: int = 1 << 20) -> Iterator[str]:
             end = space + 1 if space > start else end
         yield text[start:end]
         start = end
+
+
+def keep_texts(docs: DataFrame, test: Callable[[], Callable[[str | None], bool]], text: str = "text") -> DataFrame:
+    """``docs`` with all its columns, without the rows whose text fails. ``test()`` makes the test once a task; nothing is shuffled."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = test()
+        for batch in small_batches(batches, text):
+            yield batch.filter(pa.array([passes(value.as_py()) for value in batch.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -11,7 +11,7 @@ row gives ``und`` for all; ties go to the language that sorts first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slim, small_batches, text_spans
+from tidemark.llm.common import keep_texts, slim, small_batches, text_spans
 
 SHIFT = 21  # bits of a code point
 UNKNOWN = "und"
@@ -153,3 +153,20 @@ def identify_language(docs: DataFrame, profiles: dict[str, list[int]], size: int
 def learnable(docs: DataFrame, held_out: Column, lang: str = "lang") -> DataFrame:
     """Rows that profiles may be learned from."""
     return docs.where(~held_out & F.col(lang).isNotNull())
+
+
+def in_known_language(docs: DataFrame, profiles: dict[str, list[int]], least_score: float = 0.2, size: int = 400, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that have no letter or are near no profile. Without profiles only the former go."""
+
+    def test() -> Callable[[str | None], bool]:
+        model = RankOrder(profiles, size)
+
+        def passes(value: str | None) -> bool:
+            if not profiles:
+                return bool(value) and any(map(str.isalpha, value))
+            name, score = model.classify(value)
+            return name != UNKNOWN and score >= least_score
+
+        return passes
+
+    return keep_texts(docs, test, text)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embeddings, html, langid, packing, sharding, simhash, tokens, toxicity, urlfilter
+from tidemark.llm import decontaminate, embeddings, html, langid, packing, sharding, simhash, tokencount, tokens, toxicity, urlfilter
 from tidemark.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,13 @@ FROM split s LEFT JOIN fit f ON f.page_id = s.page_id AND f.rn = 1
 """
 
 
+@query
+def op2_separator_scan_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of 16-bit ids, each document ended by the vocabulary's end-of-text id."""
+    found = tokencount.document_token_counts(spark, table(spark, sf_dir, "documents"), tokens.public_vocabulary(), end_id=50256)
+    return found.select("doc_id", "doc_index", "start", "n_tokens")
+
+
 @query
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))

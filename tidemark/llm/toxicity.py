@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slim, small_batches
+from tidemark.llm.common import keep_texts, slim, small_batches
 from tidemark.session import materialize
 
 WORD = re.compile(r"[^\W_]+")
@@ -363,3 +363,13 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.float64())], ["doc_id", "text_hash", "score"])
 
     return source.mapInArrow(scored, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash bigint, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, cut: float = 0.5, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``cut`` or more."""
+
+    def test() -> Callable[[str | None], bool]:
+        matcher = Matcher(model.lexicon)
+        return lambda value: model.score(matcher.evidence(value)) < cut
+
+    return keep_texts(docs, test, text)
