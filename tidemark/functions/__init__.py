@@ -1 +1 @@
-"""tidemark.functions"""
+"""Scalar functions: JSON, templates, identifiers, times and type-aware extraction."""

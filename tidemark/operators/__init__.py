@@ -1 +1 @@
-"""tidemark.operators"""
+"""Operators over DataFrames: intervals, synchronisation, differences, registry, acquisition, profiles."""
