@@ -1 +1 @@
-"""tidemark.sources"""
+"""Sources and sinks: files, paged catalogs, databases, and the versioned lake."""
