@@ -7,11 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark import types as registry_types
 from tidemark.functions import json as fj
 from tidemark.operators import access, acquire, diff, intervals, profile, provenance, registry, textsearch, ttst
+from tidemark.session import scratch_path
+from tidemark.sources.lake import HistoryTable, Lake
+from tidemark.streaming.replay import replay
+from tidemark.streaming.sinks import replicate
+from tidemark.streaming.state import changes_only
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -522,4 +526,24 @@ def text_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textsearch.search(table(spark, sf_dir, "documents"), "doc_id", "text", "the")
 
 
-__all__ = ["ORACLES", "QUERIES", "T"]
+# Streams: the events replayed, and the table that the stream wrote
+
+
+@query(ORACLES["current_merge_on_read"].replace("event_type, value", "event_type"))
+def stream_replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current state after a stream of changes has been applied to a lake batch by batch."""
+    changes = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    history = HistoryTable(Lake(spark, scratch_path(spark, "lake")).init(), "events", [("event_id", "int64"), ("ts", "timestamp_ntz"), ("user_id", "int64"), ("event_type", "varchar")], ["user_id"]).create()
+    stream = replay(changes, "ts").withColumn("__op", F.lit("U")).withColumn("__tt", F.col("ts"))
+    replicate(stream, history, scratch_path(spark, "checkpoint"), "events")
+    return history.state().select("event_id", "ts", "user_id", "event_type")
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER w = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER w AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE fresh")
+def stream_change_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that differ from the key's last one, by a stateful stream."""
+    stream = replay(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"), "ts")
+    target = scratch_path(spark, "changes")
+    kept = changes_only(stream, ["user_id"], ["ts", "event_id"], ["event_type"])
+    kept.writeStream.option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).format("parquet").start(target).awaitTermination()
+    return spark.read.schema(kept.schema).parquet(target).select("event_id", "user_id", "event_type")

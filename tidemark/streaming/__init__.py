@@ -1 +1 @@
-"""tidemark.streaming"""
+"""Structured Streaming: idempotent application of change batches, and stateful filters."""
