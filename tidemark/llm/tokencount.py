@@ -104,7 +104,7 @@ def count_tokens(files: DataFrame, end_id: int, dtype: str = "<u2", block_tokens
         "n",
         "ends",
         F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("index"),
-        (F.coalesce(F.max(F.element_at("ends", -1)).over(before), F.lit(-1)) + 1).alias("begun"),
+        (F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before), F.lit(-1)) + 1).alias("begun"),
         (F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block"))) == 1).alias("last"),
     )
     # Places where documents begin, moved up by one against the places where they end.
