@@ -22,12 +22,22 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(parts))
 
 
+#: Rows of an Arrow batch between the JVM and Python: texts are long, and both sides hold a batch whole.
+BATCH_ROWS = 1000
+
+
 def slim(docs: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under fixed names: other columns of the input can't clash with an operator's own."""
+    """Only the named columns, under fixed names: other columns of the input can't clash with an operator's own.
+
+    Every operator begins here, so the session's Arrow batches are made small here, too.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
     return docs.select(*[docs[source].alias(name) for name, source in columns.items()])
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of one batch hold about ``limit`` bytes at most (or one text)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -38,7 +38,7 @@ REPORTING = frozenset("said says wrote writes quote quoted quotes quoting called
 ADDRESS = frozenset("you your youre u ur yourself tu te toi vous du dich dir ihr euch usted ustedes vosotros".split())
 QUOTES = (("“", "”"), ("«", "»"), ("„", "“"), ("‹", "›"), ("「", "」"))
 WINDOW = 8
-SHORTEST, LONGEST_STEM = 3, 12
+SHORTEST, SHORTEST_STEM, LONGEST_STEM = 3, 4, 10
 
 
 def allowed_edits(term: str) -> int:
@@ -61,7 +61,7 @@ class Lexicon:
 class Automaton:
     """The product of the lexicon's trie and its words' Levenshtein automata, made state by state."""
 
-    def __init__(self, lexicon: Lexicon, most_states: int = 50_000) -> None:
+    def __init__(self, lexicon: Lexicon, most_states: int = 20_000) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.word: list[tuple[str, float, int] | None] = [None]
         self.stem: list[float | None] = [None]
@@ -177,7 +177,7 @@ def context_factor(text: str, spans: list[tuple[int, int]], i: int) -> float:
 class Matcher:
     """Evidence of whole texts; remembers the words it has looked up, within a bound."""
 
-    def __init__(self, lexicon: Lexicon, remembered: int = 200_000) -> None:
+    def __init__(self, lexicon: Lexicon, remembered: int = 50_000) -> None:
         self.automaton, self.known, self.most = Automaton(lexicon), {}, remembered
 
     def look_up(self, word: str) -> tuple[str, float, int] | None:
@@ -228,6 +228,25 @@ def labelled_sample(labels: DataFrame, learn: Column, per_class: int, label: str
     return each.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(each.where("toxic = 0").orderBy(*order).limit(per_class))
 
 
+def unlike_texts(sample: DataFrame, hashes: int = 3) -> DataFrame:
+    """One row of each class and group of copies: rows that share a smallest shingle hash, for any of several hashes, are one.
+
+    Else the words of one document that was copied often would look like words of many toxic documents.
+    """
+    hashed = F.transform(F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+"), lambda w: F.xxhash64(w))
+    rows = sample.select("toxic", "text", hashed.alias("words"))
+    places = F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0)))
+    rows = rows.select("toxic", "text", F.transform(places, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))).alias("shingles"))
+
+    def smallest(seed: int) -> Column:
+        return F.array_min(F.transform("shingles", lambda h: F.xxhash64(F.lit(seed), h)))
+
+    marked = rows.select("toxic", "text", *[smallest(i).alias(f"m{i}") for i in range(hashes)])
+    for i in range(hashes):
+        marked = marked.dropDuplicates(["toxic", f"m{i}"])
+    return marked.select("toxic", "text")
+
+
 def term_counts(sample: DataFrame) -> DataFrame:
     """kind (w or s), term, toxic and clean document counts."""
 
@@ -236,8 +255,8 @@ def term_counts(sample: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys = list(counts[0].keys() | counts[1].keys())
-            for at in range(0, len(keys), 50_000):
-                part = keys[at : at + 50_000]
+            for at in range(0, len(keys), 10_000):
+                part = keys[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] for k in part]), pa.array([k[1:] for k in part]), *(pa.array([counts[c][k] for k in part], pa.int64()) for c in (1, 0))],
                     ["kind", "term", "toxic", "clean"],
@@ -248,8 +267,8 @@ def term_counts(sample: DataFrame) -> DataFrame:
         for batch in small_batches(batches, "text", 2 << 20):
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = {w for w in WORD.findall((text or "").lower()) if SHORTEST <= len(w) <= 40}
-                counts[toxic].update({f"w{w}" for w in words} | {f"s{w[:k]}" for w in words for k in range(SHORTEST, min(len(w) - 1, LONGEST_STEM) + 1)})
-            if len(counts[0]) + len(counts[1]) > 400_000:
+                counts[toxic].update({f"w{w}" for w in words} | {f"s{w[:k]}" for w in words for k in range(SHORTEST_STEM, min(len(w) - 1, LONGEST_STEM) + 1)})
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield from flush()
         yield from flush()
 
@@ -263,7 +282,7 @@ def choose_terms(rows: list[tuple[str, str, int, float]], most: int) -> Lexicon:
     for kind, term, toxic, weight in sorted(rows, key=lambda r: (-r[2] * r[3], -len(r[1]), r[1], r[0])):
         if len(lexicon.words) + len(lexicon.stems) >= most:
             break
-        if any(term[:k] in lexicon.stems for k in range(SHORTEST, len(term) + (kind == "s"))):
+        if any(term[:k] in lexicon.stems for k in range(SHORTEST_STEM, len(term) + (kind == "s"))):
             continue
         if kind == "s" and any(t.startswith(term) and toxic <= 1.2 * n for t, n in support.items()):
             continue
@@ -292,7 +311,7 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     learn: Column,
-    per_class: int = 20_000,
+    per_class: int = 8_000,
     lexicon: int = 500,
     least_ratio: float = 12.0,
     least_rows: int = 6,
@@ -306,7 +325,8 @@ def fit(
     misspellings unless clean documents hold them as readily.
     """
     chosen = labelled_sample(slim(labels, doc_id="doc_id", **{label: label}), learn, per_class, label)
-    sample = materialize(slim(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").distinct(), "labelled")
+    sample = slim(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    sample = materialize(unlike_texts(sample), "labelled")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
