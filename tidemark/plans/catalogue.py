@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import types as registry_types
+from tidemark.functions import extract, text
 from tidemark.functions import json as fj
-from tidemark.operators import access, acquire, diff, intervals, profile, provenance, registry, textsearch, ttst
+from tidemark.operators import access, acquire, codegen, diff, essence, intervals, profile, provenance, registry, scans, textsearch, ttst
 from tidemark.session import scratch_path
 from tidemark.sources.lake import HistoryTable, Lake
 from tidemark.streaming.replay import replay
@@ -526,6 +527,175 @@ def text_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textsearch.search(table(spark, sf_dir, "documents"), "doc_id", "text", "the")
 
 
+# Sources, essences, texts and the lake
+
+
+@query("SELECT n_regionkey AS region, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation")
+def json_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON array in one text, back as rows of text columns; keys with a colon need quoting."""
+    packed = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.to_json(F.collect_list(F.struct(F.col("n_nationkey").alias(":id"), F.col("n_name").alias("name")))).alias("payload"))
+    return fj.json_rows(packed, "payload", [":id", "name"], ["region"]).withColumnRenamed(":id", "key")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 100 AS id FROM orders")
+def bulk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense ids for a bulk load, from an offset, without a global sort in one task."""
+    return scans.row_numbers(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "id").withColumn("id", F.col("id") + 100)
+
+
+@query("SELECT op, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'I' ELSE 'U' END AS op FROM events) GROUP BY op")
+def op_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = table(spark, sf_dir, "events").select(acquire.decode_op(F.col("event_type"), ("signup",), ("error",)).alias("op"))
+    return decoded.groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+
+
+def star() -> essence.Config:
+    """A join graph over the driver's tables: lines to orders to customers, and nations where there are any."""
+    config = essence.Config()
+    config.add("catalog_source", {"dialect": "d", "essence": "line", "where_sql": "o.o_orderstatus <> 'P'", "change_signal": "o.o_orderdate"})
+    config.add("catalog_attr", *[{"dialect": "d", "essence": "line", "ord": i, "attr": a, "expr": e} for i, (a, e) in enumerate([("orderkey", "l.l_orderkey"), ("line", "l.l_linenumber"), ("customer", "c.c_name"), ("nation", "n.n_name")])])
+    config.add("catalog_table", *[{"dialect": "d", "essence": "line", "alias": a, "expr": e, "is_root": r} for a, e, r in [("l", "lineitem", 1), ("o", "orders", 0), ("c", "customer", 0), ("n", "nation", 0)]])
+    config.add("catalog_join", {"dialect": "d", "essence": "line", "child": "l", "parent": "o", "child_col": "l_orderkey", "parent_col": "o_orderkey"}, {"dialect": "d", "essence": "line", "child": "o", "parent": "c", "child_col": "o_custkey", "parent_col": "c_custkey"}, {"dialect": "d", "essence": "line", "child": "c", "parent": "n", "child_col": "c_nationkey", "parent_col": "n_nationkey", "is_outer": 1})
+    return config
+
+
+LINES = "SELECT l_orderkey AS orderkey, l_linenumber AS line, c_name AS customer, n_name AS nation FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus <> 'P'"
+
+
+@query(LINES)
+def essence_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return essence.projection(star(), "d", "line", lambda name: table(spark, sf_dir, name))
+
+
+@query(LINES + " AND o_orderdate > TIMESTAMP '1996-01-01 00:00:00'")
+def essence_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return essence.projection(star(), "d", "line", lambda name: table(spark, sf_dir, name), moment("1996-01-01"))
+
+
+@query(f"SELECT table_name, substr(sha256('[' || string_agg('[\"' || column_name || '\",\"' || data_type || '\"]', ',' ORDER BY o) || ']'), 1, 16) AS fingerprint FROM {values_sql(CAPTURED)} v(table_name, column_name, data_type, o) GROUP BY table_name")
+def schema_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captured = spark.createDataFrame(CAPTURED, "table_name string, column_name string, data_type string, o int")
+    return registry.fingerprints(captured, ["table_name"], "column_name", "data_type", "o")
+
+
+@query(f"SELECT table_name, string_agg('\"' || column_name || '\" ' || data_type, ', ' ORDER BY o) AS ddl FROM {values_sql(CAPTURED)} v(table_name, column_name, data_type, o) GROUP BY table_name")
+def table_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captured = spark.createDataFrame(CAPTURED, "table_name string, column_name string, data_type string, o int")
+    return codegen.table_ddl(captured, ["table_name"], order="o")
+
+
+@query(
+    f"""SELECT coalesce(a.name, b.name) AS name, a.type AS expected_type, b.type AS actual_type, CASE WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'extra' ELSE 'family' END AS problem
+FROM {values_sql([r[:2] for r in R1])} a(name, type) FULL OUTER JOIN {values_sql([("id", "bigint"), ("name", "int"), ("extra", "text")])} b(name, type) ON a.name = b.name WHERE a.name IS NULL OR b.name IS NULL OR a.name = 'name'"""
+)
+def column_set_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    make = lambda rows: spark.createDataFrame(rows, "name string, type string")
+    return diff.column_set_compare(make([r[:2] for r in R1]), make([("id", "bigint"), ("name", "int"), ("extra", "text")]), registry_types.family_map() | {"nvarchar(50)": "string"})
+
+
+VERSIONED = f"(SELECT k, seq AS begin_snapshot, value, end_snapshot FROM (SELECT k, seq, op, value, lead(seq) OVER (PARTITION BY k ORDER BY seq) AS end_snapshot FROM {V_BACKLOG}) WHERE op <> 'D')"
+
+
+def versioned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = intervals.backlog_intervals(v_backlog(spark, sf_dir).withColumn("at", F.col("seq")), ["k"], "at", "seq", "op")
+    snapshots = table(spark, sf_dir, "events").select(F.col("event_id").alias("snapshot_id"), F.col("ts").alias("snapshot_time"))
+    return rows.select("k", "value", F.col("tt_start").alias("begin_snapshot"), F.col("tt_end").alias("end_snapshot")), snapshots
+
+
+@query(f"SELECT k, v.value, begin_snapshot AS tt_start, end_snapshot AS tt_end, b.ts AS tt_start_ts, e.ts AS tt_end_ts FROM {VERSIONED} v JOIN events b ON b.event_id = v.begin_snapshot LEFT JOIN events e ON e.event_id = v.end_snapshot WHERE begin_snapshot > 500 OR end_snapshot > 500")
+def extract_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ttst.extract_intervals(*versioned(spark, sf_dir), since=500).select("k", "value", "tt_start", "tt_end", "tt_start_ts", "tt_end_ts")
+
+
+@query(f"SELECT count(*) FILTER (WHERE begin_snapshot > 500) AS inserted, count(*) FILTER (WHERE begin_snapshot <= 500 AND end_snapshot > 500) AS closed FROM {VERSIONED}")
+def project_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inserted, closing = ttst.project(ttst.extract_intervals(*versioned(spark, sf_dir), since=500), 500)
+    return inserted.agg(F.count(F.lit(1)).alias("inserted")).crossJoin(closing.agg(F.count(F.lit(1)).alias("closed")))
+
+
+@query(f"SELECT k, v.value, begin_snapshot AS tt_start, end_snapshot AS tt_end, b.ts AS tt_start_ts, e.ts AS tt_end_ts FROM {VERSIONED} v JOIN events b ON b.event_id = v.begin_snapshot LEFT JOIN events e ON e.event_id = v.end_snapshot")
+def outward_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target that stood at snapshot 500, brought up to date: the same intervals as from nothing."""
+    rows, snapshots = versioned(spark, sf_dir)
+    then = rows.where("begin_snapshot <= 500").withColumn("end_snapshot", F.when(F.col("end_snapshot") <= 500, F.col("end_snapshot")))
+    target = ttst.extract_intervals(then, snapshots, -1).select("k", "value", "tt_start", "tt_end", "tt_start_ts", "tt_end_ts")
+    inserted, closing = ttst.project(ttst.extract_intervals(rows, snapshots, 500), 500)
+    return ttst.apply_projection(target, inserted, closing, ["k"])
+
+
+@query(ORACLES["temporal_semi_join"])
+def temporal_semi_join_stretched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as-of join with each key's time cut into days, for keys that hold many rows."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    errors = events.where("event_type = 'error'").drop("event_type")
+    signups = events.where("event_type = 'signup'").drop("event_type")
+    return provenance.temporal_semi_join(errors, signups, ["user_id"], "ts", "ts", ["event_id"], stretch="day")
+
+
+@query(
+    """WITH v AS (SELECT l_quantity AS v, count(*) AS k FROM lineitem GROUP BY 1), c AS (SELECT *, sum(k) OVER (ORDER BY v) AS upto, sum(k) OVER () AS total FROM v), s AS (SELECT *, CAST(floor(CAST((upto - k) * 20 AS DOUBLE) / total) AS INT) AS step FROM c)
+SELECT step, arg_max(k, v) AS equal_rows, CAST(sum(k) - arg_max(k, v) AS BIGINT) AS range_rows, count(*) - 1 AS distinct_range_rows, max(v) AS range_high_key FROM s GROUP BY step"""
+)
+def equi_depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.equi_depth(table(spark, sf_dir, "lineitem"), "l_quantity", 20)
+
+
+@query(f"SELECT k, count(*) AS versions, count(*) FILTER (WHERE op <> 'D') AS images FROM {V_BACKLOG} GROUP BY k")
+def fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many versions of a key a backlog keeps; a net poll keeps one."""
+    return v_backlog(spark, sf_dir).groupBy("k").agg(F.count(F.lit(1)).alias("versions"), F.count_if(F.col("op") != "D").alias("images"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS millis, upper(hex(event_type)) AS hexed, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso, 's_' || replace(replace('data.' || event_type || '-x', '.', '_'), '-', '_') AS schema_name FROM events")
+def scalar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        "event_id", extract.epoch_millis(F.col("ts")).alias("millis"), extract.to_hex(F.col("event_type")).alias("hexed"), extract.to_iso(F.col("ts")).alias("iso"),
+        text.domain_to_schema(F.concat(F.lit("data."), F.col("event_type"), F.lit("-x"))).alias("schema_name"),
+    )
+
+
+@query(
+    """SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS hits FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{80}-\\x{FFFF}]+')) AS term FROM documents) WHERE term <> '' GROUP BY doc_id, term) GROUP BY term"""
+)
+def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = textsearch.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return index.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("hits"))
+
+
+@query(f"SELECT schema_name, object_name, max(sample_time) AS last_seen FROM {V_IDENTITY} GROUP BY ALL HAVING max(sample_time) < (SELECT max(sample_time) FROM {V_IDENTITY})")
+def dropped_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.dropped_objects(v_identity(spark, sf_dir), ["schema_name", "object_name"])
+
+
+@query("SELECT n_nationkey AS id, n_name AS label, CASE WHEN n_nationkey % 2 = 1 THEN n_regionkey END AS region FROM nation")
+def lake_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writes with a column added between and one renamed after: old files read as null and under the new name."""
+    nations, store = table(spark, sf_dir, "nation"), Lake(spark, scratch_path(spark, "lake")).init()
+    store.create_table("nation", [("id", "int32"), ("name", "varchar")])
+    store.write("nation", nations.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
+    store.reconcile_columns("nation", [("region", "int32")])
+    store.write("nation", nations.where("n_nationkey % 2 = 1").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
+    store.rename_column("nation", "name", "label")
+    return store.read("nation")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0")
+def lake_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table as of the version before its second write."""
+    nations, store = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), Lake(spark, scratch_path(spark, "lake")).init()
+    store.create_table("nation", [("id", "int32"), ("name", "varchar")])
+    first = store.write("nation", nations.where("id % 2 = 0"))
+    store.write("nation", nations.where("id % 2 = 1"))
+    return store.read("nation", version=first)
+
+
+@query("SELECT 'events' AS source, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'customer', count(*) FROM customer")
+def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of several tables as one report; Parquet footers answer them."""
+    parts = [table(spark, sf_dir, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("source"), "n") for n in ("events", "orders", "customer")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # Streams: the events replayed, and the table that the stream wrote
 
 
