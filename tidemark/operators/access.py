@@ -8,25 +8,29 @@ from pyspark.sql import functions as F
 from tidemark.session import discard, materialize
 
 
-def closure(edges: DataFrame, child: str, parent: str, most_depth: int = 100, reflexive: bool = False) -> DataFrame:
-    """(child, parent) of all paths: each round joins only what the last one found, so a cycle ends by itself.
+def closure(edges: DataFrame, child: str, parent: str, most_depth: int = 1024, reflexive: bool = False) -> DataFrame:
+    """(child, parent) of all paths. Each round joins what is known with itself, so a chain takes rounds by the logarithm of its length.
 
-    ``most_depth`` guards against chains without an end; rounds are tables in the shared folder.
+    A cycle ends by itself; ``most_depth`` guards against chains without an end. Rounds are tables in the
+    shared folder, of which only the last two are kept.
     """
     step = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child is not null and parent is not null").distinct()
-    step = materialize(step, "edges")
-    known, fresh = step, step
-    for _ in range(most_depth):
-        reached = fresh.alias("f").join(step.alias("s"), F.col("f.parent") == F.col("s.child")).select(F.col("f.child"), F.col("s.parent"))
+    known = first = materialize(step, "closure")
+    for _ in range(max(1, most_depth - 1).bit_length() + 1):
+        reached = known.alias("a").join(known.alias("b"), F.col("a.parent") == F.col("b.child")).select(F.col("a.child"), F.col("b.parent"))
         fresh = materialize(reached.distinct().join(known, ["child", "parent"], "left_anti"), "paths")
         if fresh.isEmpty():
             discard(fresh)
             break
-        known = materialize(known.unionByName(fresh), "closure")
+        after = materialize(known.unionByName(fresh), "closure")
+        discard(fresh)
+        if known is not first:
+            discard(known)
+        known = after
     else:
         raise RuntimeError(f"paths are longer than {most_depth}")
     if reflexive:
-        ends = step.select("child").union(step.select("parent")).distinct()
+        ends = first.select("child").union(first.select("parent")).distinct()
         known = known.unionByName(ends.select("child", F.col("child").alias("parent"))).distinct()
     return known.select(F.col("child").alias(child), F.col("parent").alias(parent))
 
