@@ -223,8 +223,9 @@ def near_duplicates(
     groups = components(found.where("u <> v"))
     named = classes.select("cid", "first", "members", "k1", "k2").join(gained, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
     named = materialize(named.withColumn("component", F.coalesce("component", "cid")), "named")
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    least = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "least")
     named = named.join(least, "component").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), (F.col("members") - 1 + F.coalesce("gained", F.lit(0))).alias("links"), "component_id")
+    named = materialize(named, "named")
     joined = rows.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     alone = F.col("k1").isNull()
     result = joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))

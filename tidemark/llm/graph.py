@@ -14,7 +14,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
     Alternating large-star and small-star rounds (Kiveris et al., 2014): every round links nodes to smaller
     ones only, so hubs turn into flat stars and the number of rounds grows with the logarithm of a path's
     length. Minima are aggregated before they are joined back, so a hub's neighbours never meet in one task.
-    Each round is a table in the shared folder; the one before it is deleted.
+    Each step is a table in the shared folder, so a join's sides are plain shuffles, of which adaptive
+    execution splits a hub's; the tables of the round before are deleted.
     """
     a, b = F.col(u), F.col(v)
     now = materialize(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
@@ -23,13 +24,14 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
         if not seen[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         found = state(after)
-        discard(now)
+        for old in (now, low, large, least):
+            discard(old)
         now = after
         if found == seen:
             break

@@ -106,7 +106,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, doc_id:
         held = [min(n, q) for n, q in zip(held, quota, strict=True)]
     ends = Window.partitionBy(*GROUP).orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     plan = state.withColumn("end", F.sum("n").over(ends)).groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("plan"))
-    plan = plan.select(*[F.col(c).alias(f"plan_{c}") for c in GROUP], "plan")
+    plan = materialize(plan.select(*[F.col(c).alias(f"plan_{c}") for c in GROUP], "plan"), "plan")
     members = rows.join(plan, (F.col("text_hash") == F.col("plan_text_hash")) & (F.col("text_crc32") == F.col("plan_text_crc32")), "left").drop("plan_text_hash", "plan_text_crc32")
     members = materialize(members, "members")
 

@@ -186,10 +186,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     nodes = materialize(each.groupBy("fp").agg(F.min(row).alias("first")), "nodes")
     groups = materialize(components(links(nodes.select("fp"), limit)), "components")
-    linked = groups.join(nodes, groups["node"] == nodes["fp"]).select("fp", "component", "first")
-    least = linked.groupBy("component").agg(F.min("first").alias("keeper"))
+    # Tables of their own before each join by a key that may be hot: adaptive execution then splits it.
+    linked = materialize(groups.join(nodes, groups["node"] == nodes["fp"]).select("fp", "component", "first"), "linked")
+    least = materialize(linked.groupBy("component").agg(F.min("first").alias("keeper")), "least")
     named = linked.join(least, "component").select("fp", "keeper")
-    keepers = nodes.join(named, "fp", "left").select("fp", F.coalesce("keeper", "first").alias("keeper"))
+    keepers = materialize(nodes.join(named, "fp", "left").select("fp", F.coalesce("keeper", "first").alias("keeper")), "keepers")
     return each.join(keepers, "fp").select("doc_id", "text_hash", "fp", F.col("keeper.doc_id").alias("component_id"), "keeper")
 
 
