@@ -544,7 +544,7 @@ def bulk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT op, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'I' ELSE 'U' END AS op FROM events) GROUP BY op")
-def op_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decode_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = table(spark, sf_dir, "events").select(acquire.decode_op(F.col("event_type"), ("signup",), ("error",)).alias("op"))
     return decoded.groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 

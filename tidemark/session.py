@@ -75,3 +75,9 @@ def discard(df: DataFrame) -> None:
         if fs.exists(folder):
             fs.delete(folder, True)
         return
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables under the shared folder: call it once the results that read them are written."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
