@@ -145,6 +145,19 @@ def test_fast_ids_equal_the_reference_library(vocabulary):
         assert fast.encode(text).tolist() == slow.encode(text).tolist(), text[:80]
 
 
+def test_long_texts_are_cut_without_a_trace(vocabulary, monkeypatch):
+    rng = random.Random(7)
+    encoder = tokens.Encoder(**vocabulary)
+    pool = ["word", "  ", " ", "\n", "it's", "é", "12", "!", " a", "B ", "日本", "_", "'s"]
+    for _ in range(200):
+        text = "".join(rng.choice(pool) for _ in range(200))
+        whole = encoder.encode(text).tolist()
+        monkeypatch.setattr(tokens, "LONG_TEXT", 20)
+        assert encoder.encode(text).tolist() == whole
+        assert "".join(tokens.pieces(text, 20)) == text
+        monkeypatch.undo()
+
+
 def test_packing_round_trip(spark, rows, vocabulary):
     encode = tokens.Encoder(**vocabulary).encode
     found = packing.harmonic_pack(frame(spark, rows), vocabulary, capacity=64, workers=3).collect()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep_texts, slim, small_batches
+from tidemark.llm.common import keep_texts, slim, small_batches, text_spans
 from tidemark.session import materialize
 
 WORD = re.compile(r"[^\W_]+")
@@ -187,28 +187,34 @@ class Matcher:
         return found
 
     def evidence(self, text: str | None) -> tuple[float, float, float]:
-        """Of exact terms, of misspelled terms (both weighted by context), and the logarithm of the number of matches."""
-        if not text:
-            return 0.0, 0.0, 0.0
-        text = text.lower()
+        """Of exact terms, of misspelled terms (both weighted by context), and the logarithm of the number of matches.
+
+        A long text is read a stretch at a time; windows end where a stretch does.
+        """
+        best: dict[tuple[str, bool], float] = {}
+        matches = 0
+        for part in text_spans(text or ""):
+            matches += self.matches(part.lower(), best)
+        exact, fuzzy = (sum(w for (_, f), w in best.items() if f is kind) for kind in (False, True))
+        return min(exact, 40.0), min(fuzzy, 40.0), math.log1p(matches)
+
+    def matches(self, text: str, best: dict[tuple[str, bool], float]) -> int:
+        """The matches of one stretch; ``best`` keeps the greatest worth of each term."""
         known, hits = self.known, {}
         for word in set(WORD.findall(text)):
             found = known[word] if word in known else self.look_up(word)
             if found:
                 hits[word] = found
         if not hits:
-            return 0.0, 0.0, 0.0
-        spans = [m.span() for m in WORD.finditer(text)]
-        best: dict[tuple[str, bool], float] = {}
-        matches = 0
+            return 0
+        spans, matches = [m.span() for m in WORD.finditer(text)], 0
         for i, (s, e) in enumerate(spans):
             if found := hits.get(text[s:e]):
                 term, weight, edits = found
                 matches += 1
                 key, worth = (term, edits > 0), weight / (1 + edits) * context_factor(text, spans, i)
                 best[key] = max(best.get(key, 0.0), worth)
-        exact, fuzzy = (sum(w for (_, f), w in best.items() if f is kind) for kind in (False, True))
-        return min(exact, 40.0), min(fuzzy, 40.0), math.log1p(matches)
+        return matches
 
 
 @dataclass
@@ -266,7 +272,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
 
         for batch in small_batches(batches, "text", 2 << 20):
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = {w for w in WORD.findall((text or "").lower()) if SHORTEST <= len(w) <= 40}
+                words = {w for part in text_spans(text or "") for w in WORD.findall(part.lower()) if SHORTEST <= len(w) <= 40}
                 counts[toxic].update({f"w{w}" for w in words} | {f"s{w[:k]}" for w in words for k in range(SHORTEST_STEM, min(len(w) - 1, LONGEST_STEM) + 1)})
             if len(counts[0]) + len(counts[1]) > 150_000:
                 yield from flush()
@@ -298,7 +304,7 @@ def misspelled_counts(sample: DataFrame, lexicon: Lexicon) -> dict[str, tuple[in
         matcher, counts = Matcher(lexicon), (Counter(), Counter())
         for batch in small_batches(batches, "text"):
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = (matcher.known.get(w) or (None if w in matcher.known else matcher.look_up(w)) for w in set(WORD.findall((text or "").lower())))
+                found = (matcher.known.get(w) or (None if w in matcher.known else matcher.look_up(w)) for w in {w for part in text_spans(text or "") for w in WORD.findall(part.lower())})
                 counts[toxic].update({f[0] for f in found if f and f[2]})
         terms = sorted(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[c][t] for t in terms], pa.int64()) for c in (1, 0))], ["term", "toxic", "clean"])
