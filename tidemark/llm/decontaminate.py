@@ -1,9 +1,9 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
 A window is ``window`` consecutive words of a benchmark item (an item of fewer words is one window). Of each
-window's k-gram hashes the smallest is kept (the first of equals); a document keeps the smallest of each of
-its own windows. Equal windows keep equal hashes at equal places, so every shared window is met by a join of
-the kept hashes. A hit is extended to each window that covers it, and those are compared word by word.
+window's k-gram hashes the smallest is kept; a document keeps the smallest of each of its own windows, once for
+each run of windows that keep the same. Equal windows keep equal hashes, so every shared window is met by a join
+of the kept hashes. A hit is extended to all windows of its run, and those are compared word by word.
 
 Short items have windows of their own length; documents are winnowed once for each window length that
 occurs in the benchmark, at most ``window`` lengths.
@@ -45,18 +45,28 @@ def gram_of_hashes(hashes: Column, k: int) -> Column:
     )
 
 
-def kept_places(hashes: Column, span: int) -> Column:
-    """Places (from 0) of the hashes that are the first smallest of some ``span`` consecutive ones."""
-    last, none = F.size(hashes) - span, F.array().cast("array<int>")
-    starts = F.when(last < 0, none).otherwise(F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
-    if span == 1:
-        return starts
+def kept_runs(rows: DataFrame, grams: str, span: int) -> DataFrame:
+    """``runs`` in place of the array ``grams``: stretches of windows that keep the same smallest hash, as (start, end, gram).
 
-    def place(i: Column) -> Column:
-        part = F.slice(hashes, i + 1, span)
-        return (i + F.array_position(part, F.array_min(part)) - 1).cast("int")
+    A window is ``span`` consecutive hashes, numbered by its first. Minima of 2, 4, 8, ... hashes are made of
+    those of half as many, each in a projection of its own, so the work per word grows with the logarithm of ``span``.
+    """
+    others = [c for c in rows.columns if c != grams]
+    count = F.greatest(F.size(grams) - (span - 1), F.lit(0))
+    out, width = rows.select(*others, count.alias("count"), F.col(grams).alias("least")), 1
+
+    def step(offset: int) -> DataFrame:
+        return out.select(*others, "count", F.transform("least", lambda x, i: F.least(x, F.get(F.col("least"), i + offset))).alias("least"))
 
-    return F.array_distinct(F.transform(starts, place))
+    while 2 * width <= span:
+        out, width = step(width), 2 * width
+    if width < span:
+        out = step(span - width)
+    out = out.select(*others, "count", F.slice("least", F.lit(1), F.col("count")).alias("least"))
+    fresh = F.transform("least", lambda x, i: F.when((i == 0) | (F.get(F.col("least"), i - 1) != x), F.struct(i.alias("start"), x.alias("gram"))))
+    out = out.select(*others, "count", F.array_compact(fresh).alias("starts"))
+    ended = F.transform("starts", lambda x, i: F.struct(x["start"].alias("start"), (F.coalesce(F.get(F.col("starts"), i + 1)["start"], F.col("count")) - 1).alias("end"), x["gram"].alias("gram")))
+    return out.select(*others, ended.alias("runs"))
 
 
 def benchmark_windows(items: DataFrame, window: int, item_id: str, text: str) -> DataFrame:
@@ -102,24 +112,22 @@ def contamination(
         if listed.count() <= broadcast_rows:
             listed = F.broadcast(listed)
         own = hashes.select("doc_id", "text_hash", gram_of_hashes(F.col("hashes"), k).alias("grams"))
-        own = own.select("doc_id", "text_hash", F.explode(F.transform(kept_places(F.col("grams"), span), lambda i: F.struct(i.alias("at"), F.get("grams", i).alias("gram")))).alias("kept"))
-        met = own.select("doc_id", "text_hash", "kept.at", "kept.gram").join(listed, "gram", "left_semi")
-        met = met.select("doc_id", "text_hash", F.lit(length).alias("length"), F.lit(span).alias("span"), "at").distinct()
+        # The outer form: a plain explode puts a filter on its input below all projections, and writes them out in it.
+        own = kept_runs(own, "grams", span).select("doc_id", "text_hash", F.explode_outer("runs").alias("run"))
+        met = own.select("doc_id", "text_hash", "run.*").join(listed, "gram", "left_semi")
+        met = met.select("doc_id", "text_hash", F.lit(length).alias("length"), "start", "end")
         hits = met if hits is None else hits.unionByName(met)
-    per_doc = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).agg(F.collect_set(F.struct("length", "span", "at")).alias("hits"))
+    per_doc = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).agg(F.collect_set(F.struct("length", "start", "end")).alias("hits"))
     per_doc = materialize(per_doc, "hits")
 
-    # Extend: all windows that cover a hit, told apart by their words.
+    # Extend: all windows that keep a hash of the benchmark, told apart by their words.
     once = source.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")))
     tokens = once.select("doc_id", "text_hash", "hits", words(F.col("text")).alias("tokens"))
 
-    def covering(hit: Column) -> Column:
-        first = F.greatest(hit["at"] - hit["span"] + 1, F.lit(0))
-        last = F.least(hit["at"], F.size("tokens") - hit["length"])
-        starts = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda s: F.struct(s.alias("start"), hit["length"].alias("length")))
+    def windows(hit: Column) -> Column:
+        return F.transform(F.sequence(hit["start"], hit["end"]), lambda s: F.struct(s.alias("start"), hit["length"].alias("length")))
 
-    spans = tokens.withColumn("spans", F.array_distinct(F.flatten(F.transform("hits", covering))))
+    spans = tokens.withColumn("spans", F.array_distinct(F.flatten(F.transform("hits", windows))))
     spans = spans.select("doc_id", "text_hash", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), F.array_join(F.slice("tokens", s["start"] + 1, s["length"]), " ").alias("content")))).alias("span"))
     spans = spans.select("doc_id", "text_hash", "span.*").distinct()
     keyed = materialize(contents.withColumn("window_id", F.monotonically_increasing_id()), "contents")
