@@ -103,7 +103,8 @@ class Lake:
         schema = catalog_schema(name)
         if not self.exists(self.folder(name)):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(self.folder(name))
+        # Metadata of the control plane, a row for each table, column, snapshot or file: one task reads it without a shuffle.
+        rows = self.spark.read.schema(schema).parquet(self.folder(name)).coalesce(1)
         if ENDED not in schema.names:
             return rows
         # A second row of an entity carries its end.
