@@ -417,5 +417,13 @@ def test_one_copied_document_makes_no_lexicon(spark):
     assert "unmistakable" not in model.lexicon.words
 
 
+def test_a_cut_class_keeps_its_prior(spark):
+    rng = random.Random(12)
+    docs = [(i, sentence(rng, 30)) for i in range(1600)]  # nothing tells the classes apart: scores are the prior
+    marks = spark.createDataFrame([(i, int(i % 20 == 0)) for i, _ in docs], "doc_id bigint, toxic int")
+    bias = [toxicity.fit(frame(spark, docs), marks, F.lit(True), per_class=n).weights[0] for n in (8_000, 80)]
+    assert abs(bias[0] - bias[1]) < 0.3 and bias[1] < -2.5  # without weights the cut would raise it by ln(1520 / 80) = 2.9
+
+
 def test_json_of_rules_is_plain():
     assert json.dumps(tokens.public_vocabulary())

@@ -9,7 +9,9 @@ The evidence of a document's distinct terms, exact and misspelled, goes through
 fitted to the same labelled rows.
 
 Bounds: at most ``per_class`` labelled rows of each class are learned from (those of the smallest id hash)
-and at most ``lexicon`` terms are kept; both are parameters. Scoring reads every text whole.
+and at most ``lexicon`` terms are kept; both are parameters. In the logistic fit a row of a class that was cut
+counts for as many labelled rows as it stands for, so the prior is that of all labels. Scoring reads every
+text whole.
 
 Edge cases: a null or empty text gets the score of a text without a match; labels that are null, or whose
 document is missing, are not learned from; a document with several labels is toxic if any says so; without
@@ -227,11 +229,13 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def labelled_sample(labels: DataFrame, learn: Column, per_class: int, label: str = "toxic") -> DataFrame:
-    """doc_id, toxic: at most ``per_class`` ids of each class, those of the smallest hash."""
+def labelled_sample(labels: DataFrame, learn: Column, per_class: int, label: str = "toxic") -> tuple[DataFrame, dict[int, float]]:
+    """doc_id, toxic: at most ``per_class`` ids of each class, those of the smallest hash; and how many labelled ids one of a class stands for."""
     each = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("toxic"))
+    totals = {r["toxic"]: r["n"] for r in each.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    return each.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(each.where("toxic = 0").orderBy(*order).limit(per_class))
+    sample = each.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(each.where("toxic = 0").orderBy(*order).limit(per_class))
+    return sample, {c: max(n, per_class) / per_class for c, n in totals.items()}
 
 
 def unlike_texts(sample: DataFrame, hashes: int = 3) -> DataFrame:
@@ -330,7 +334,7 @@ def fit(
     in them, and the lower 95 % bound of that ratio's logarithm is ``least_evidence`` or more. A word keeps its
     misspellings unless clean documents hold them as readily.
     """
-    chosen = labelled_sample(slim(labels, doc_id="doc_id", **{label: label}), learn, per_class, label)
+    chosen, stands_for = labelled_sample(slim(labels, doc_id="doc_id", **{label: label}), learn, per_class, label)
     sample = slim(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     sample = materialize(unlike_texts(sample), "labelled")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -354,7 +358,7 @@ def fit(
 
     # Distinct evidence with its counts: a few numbers for each labelled row at most.
     seen = sample.mapInArrow(features, "toxic int, a double, b double, c double").select("toxic", *[F.round(c, 2).alias(c) for c in "abc"]).groupBy("toxic", "a", "b", "c").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "a", "b", "c").collect()
-    return Model(terms, logistic(np.array([[r["a"], r["b"], r["c"]] for r in seen]), np.array([r["toxic"] for r in seen], float), np.array([r["n"] for r in seen], float)))
+    return Model(terms, logistic(np.array([[r["a"], r["b"], r["c"]] for r in seen]), np.array([r["toxic"] for r in seen], float), np.array([r["n"] * stands_for[r["toxic"]] for r in seen], float)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: tuple[float, ...] = (-3.0, 1.0, 0.8, 0.0), strength: tuple[float, ...] = (0.01, 4.0, 4.0, 4.0)) -> list[float]:
