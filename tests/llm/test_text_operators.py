@@ -417,6 +417,16 @@ def test_one_copied_document_makes_no_lexicon(spark):
     assert "unmistakable" not in model.lexicon.words
 
 
+def test_rows_that_share_a_passage_are_learned_from(spark):
+    rng = random.Random(14)
+    passage = [f"p{i}" for i in range(60)]
+    half = [(0, " ".join(passage + [f"w{rng.randint(0, 10**6)}" for _ in range(30)])) for _ in range(40)]  # similarity of 0.5 to each other
+    copies = [(1, " ".join(passage + [f"copy{i}"])) for i in range(40)]
+    left = toxicity.unlike_texts(spark.createDataFrame(half + copies + copies[:5], "toxic int, text string")).collect()
+    assert {r["text"] for r in left if not r["toxic"]} == {t for _, t in half}
+    assert sum(r["toxic"] for r in left) <= 3
+
+
 def test_a_cut_class_keeps_its_prior(spark):
     rng = random.Random(12)
     docs = [(i, sentence(rng, 30)) for i in range(1600)]  # nothing tells the classes apart: scores are the prior

@@ -239,22 +239,29 @@ def labelled_sample(labels: DataFrame, learn: Column, per_class: int, label: str
 
 
 def unlike_texts(sample: DataFrame, hashes: int = 3) -> DataFrame:
-    """One row of each class and group of copies: rows that share a smallest shingle hash, for any of several hashes, are one.
+    """One row of each class and group of copies: a row goes if its shingles equal four fifths of those of a row that stays beside it.
 
-    Else the words of one document that was copied often would look like words of many toxic documents.
+    Else the words of one document that was copied often would look like words of many toxic documents. Rows
+    meet by a smallest shingle hash, for each of several hashes; what they share is then counted.
     """
     hashed = F.transform(F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+"), lambda w: F.xxhash64(w))
     rows = sample.select("toxic", "text", hashed.alias("words"))
     places = F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0)))
-    rows = rows.select("toxic", "text", F.transform(places, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))).alias("shingles"))
+    rows = rows.select("toxic", "text", F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).alias("shingles"))
 
     def smallest(seed: int) -> Column:
         return F.array_min(F.transform("shingles", lambda h: F.xxhash64(F.lit(seed), h)))
 
-    marked = rows.select("toxic", "text", *[smallest(i).alias(f"m{i}") for i in range(hashes)])
+    left = rows.withColumn("name", F.xxhash64("text")).dropDuplicates(["toxic", "name"])
+    left = materialize(left.select("toxic", "name", "text", "shingles", *[smallest(i).alias(f"m{i}") for i in range(hashes)]), "rows")
     for i in range(hashes):
-        marked = marked.dropDuplicates(["toxic", f"m{i}"])
-    return marked.select("toxic", "text")
+        key = [F.col("toxic").alias("to_toxic"), F.col(f"m{i}").alias("to_hash")]
+        first = left.groupBy(*key).agg(F.min("name").alias("to_name"), F.min_by("shingles", "name").alias("to_shingles"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+        met = left.join(materialize(first, "first"), (F.col("toxic") == F.col("to_toxic")) & (F.col(f"m{i}") == F.col("to_hash")), "left")
+        shared = F.size(F.array_intersect("shingles", "to_shingles"))
+        copy = (F.col("name") != F.col("to_name")) & (9 * shared >= 4 * (F.size("shingles") + F.size("to_shingles")))  # shared / union >= 4 / 5
+        left = materialize(met.where(~F.coalesce(copy, F.lit(False))).select(*left.columns), "rows")
+    return left.select("toxic", "text")
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
