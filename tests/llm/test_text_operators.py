@@ -5,6 +5,7 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -298,6 +299,14 @@ def test_a_group_larger_than_a_shard_is_split_over_few(spark):
     assert sum(len(s) == 1 for s in pairs.values()) >= 45
 
 
+def test_full_shards_exchange_members(spark):
+    docs = frame(spark, [(i, f"text {i // 3}") for i in range(1200)])  # every document is linked: no shard has room
+    found = sharding.shard_documents(docs, shards=8, groups_per_bucket=300).collect()
+    held = Counter((r["text_hash"], r["shard"]) for r in found)
+    assert sum(n * (n - 1) // 2 for n in held.values()) > 0.7 * 1200
+    assert {n for n in Counter(r["shard"] for r in found).values()} == {150}
+
+
 def test_shards_of_nothing(spark):
     assert sharding.shard_documents(frame(spark, [])).count() == 0
 

@@ -1,14 +1,16 @@
 """Balanced label propagation: linked documents drift to the shard of their neighbours, sizes stay even.
 
 Documents with equal texts are linked. Every document starts in a shard by hash. In each round a group's
-members outside its largest shard ask to move there; requests are granted by the neighbours they gain, up to
-the room that the shard's quota leaves. What a round needs is a group's count in each shard, so no edge of
+members outside its largest shard ask to move there; opposite requests of two shards (and rings of three) are
+granted against each other, the others up to the room that the shard's quota leaves, those that gain most
+neighbours first. Rounds go on until they keep no more links together. What a round needs is a group's count in each shard, so no edge of
 a group is ever written out, and a group of a third of all rows is at most one row per shard. Groups larger
 than a quota gather in as few shards as hold them. Documents without links fill what room is left, so the
 counts of any two shards differ by at most one (law ``rows``).
 
 Positions are counted within hash buckets and added up over the buckets' totals; no sort holds a whole shard
-or group. All of it is DataFrame operations; the driver sees totals per shard.
+or group. All of it is DataFrame operations; the driver sees totals per shard
+and pair of shards.
 
 Edge cases: a null text has no bytes, crc 0 and no links; an empty text links with other empty texts; rows
 that repeat in id and text are linked and interchangeable; a null id is hashed like any value; an empty
@@ -52,36 +54,101 @@ def loads(state: DataFrame, shards: int) -> list[int]:
     return [int(found.get(s, 0)) for s in range(shards)]
 
 
-def propagate(state: DataFrame, quota: list[int], rounds: int, groups_per_bucket: int) -> DataFrame:
-    """state: a group's count ``n`` in each shard. Members move towards their group's largest shards within quotas."""
-    shards, floor = len(quota), max(1, min(quota))
-    for _ in range(rounds):
+def kept_links(state: DataFrame) -> int:
+    """Linked pairs whose documents share a shard."""
+    return int(state.agg(F.sum((F.col("n") * (F.col("n") - 1)).cast("decimal(38,0)"))).first()[0] or 0) // 2
+
+
+def grants(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the members that ask to move from one shard to another may: opposite requests, rings of three, then spare room."""
+    left, granted, room = dict(asked), dict.fromkeys(asked, 0), list(room)
+
+    def grant(pairs: list[tuple[int, int]], n: int) -> None:
+        for pair in pairs:
+            left[pair] -= n
+            granted[pair] += n
+
+    for x, y in sorted(asked):
+        if x < y and (y, x) in left:
+            grant([(x, y), (y, x)], min(left[x, y], left[y, x]))
+    after: dict[int, list[int]] = {}
+    for x, y in sorted(asked):
+        after.setdefault(x, []).append(y)
+    for x, y in sorted(asked):
+        for z in after.get(y, ()):
+            if left[x, y] and left[y, z] and left.get((z, x)):
+                grant([(x, y), (y, z), (z, x)], min(left[x, y], left[y, z], left[z, x]))
+    moved = True
+    while moved:  # a member that goes leaves room
+        moved = False
+        for x, y in sorted(asked):
+            n = min(left[x, y], room[y])
+            if n > 0:
+                grant([(x, y)], n)
+                room[x], room[y], moved = room[x] + n, room[y] - n, True
+    return granted
+
+
+def propagate(state: DataFrame, quota: list[int], rounds: int, groups_per_bucket: int, patience: int = 3) -> DataFrame:
+    """state: a group's count ``n`` in each shard. Members move towards their group's largest shards within quotas.
+
+    Ends when ``patience`` rounds on end have kept no more links together, or after ``rounds``; gives the best state.
+    """
+    shards, floor, idle = len(quota), max(1, min(quota)), 0
+    best, most = state, kept_links(state)
+    for turn in range(rounds):
         room = [q - n for q, n in zip(quota, loads(state, shards), strict=True)]
         parts = max(1, state.count() // groups_per_bucket)
         whole = Window.partitionBy(*GROUP)
-        # Shards with room come first, then those with most members.
+        # Shards with room come first, then those with most members; ties fall anew each round, so requests go both ways.
         open_ = (by_shard(room) > 0).cast("int")
-        ranked = state.withColumn("total", F.sum("n").over(whole)).withColumn("place", F.row_number().over(whole.orderBy(F.desc(F.col("n") * (1 + open_)), "shard")))
+        tie = F.xxhash64(*GROUP, "shard", F.lit(turn))
+        ranked = state.withColumn("total", F.sum("n").over(whole)).withColumn("place", F.row_number().over(whole.orderBy(F.desc(F.col("n") * (1 + open_)), tie, "shard")))
         wide = F.least(F.ceil(F.col("total") / floor).cast("int"), F.lit(shards))
         ranked = ranked.withColumn("wide", wide).withColumn("goal", F.when(F.col("place") > F.col("wide"), F.pmod(F.col("place") - 1, F.col("wide")) + 1))
         heads = ranked.where("place <= wide").select(*[F.col(c).alias(f"to_{c}") for c in GROUP], F.col("place").alias("to_place"), F.col("shard").alias("to_shard"), F.col("n").alias("there"))
         same = (F.col("goal") == F.col("to_place")) & (F.col("text_hash") == F.col("to_text_hash")) & (F.col("text_crc32") == F.col("to_text_crc32"))
         asks = ranked.where("goal is not null").join(heads, same).select(*GROUP, "shard", "to_shard", "n", "there").withColumn("part", F.pmod(F.xxhash64(*GROUP), F.lit(parts)))
-        order = Window.partitionBy("to_shard", "part").orderBy(F.desc("there"), *GROUP, "shard").rowsBetween(Window.unboundedPreceding, 0)
-        share = F.greatest(F.floor(F.get(F.array(*[F.lit(int(v)).cast("bigint") for v in room]), F.col("to_shard")) / parts), F.lit(0))
-        granted = F.greatest(F.least(F.col("n"), share - (F.sum("n").over(order) - F.col("n"))), F.lit(0)).cast("bigint")
-        moves = materialize(asks.withColumn("granted", granted).where("granted > 0").select(*GROUP, "shard", "to_shard", "granted"), "moves")
-        if moves.isEmpty():
+        asks = materialize(asks, "asks")
+        asked = {(r["shard"], r["to_shard"], r["part"]): r["n"] for r in asks.groupBy("shard", "to_shard", "part").agg(F.sum("n").alias("n")).collect()}
+        pairs: dict[tuple[int, int], int] = {}
+        for (x, y, _), n in asked.items():
+            pairs[x, y] = pairs.get((x, y), 0) + n
+        granted, shares = grants(pairs, room), []
+        for (x, y, part), n in sorted(asked.items()):  # what one part does not use goes to the next
+            share = min(n, granted[x, y])
+            granted[x, y] -= share
+            if share:
+                shares.append((x, y, part, share))
+        if not shares:
+            discard(asks)
             break
+        allowed = state.sparkSession.createDataFrame(shares, "shard int, to_shard int, part bigint, share bigint")
+        order = Window.partitionBy("shard", "to_shard", "part").orderBy(F.desc("there"), *GROUP).rowsBetween(Window.unboundedPreceding, 0)
+        dealt = F.greatest(F.least(F.col("n"), F.col("share") - (F.sum("n").over(order) - F.col("n"))), F.lit(0)).cast("bigint")
+        moves = asks.join(F.broadcast(allowed), ["shard", "to_shard", "part"]).withColumn("granted", dealt).where("granted > 0").select(*GROUP, "shard", "to_shard", "granted")
+        moves = materialize(moves, "moves")
         flows = state.unionByName(moves.select(*GROUP, "shard", (-F.col("granted")).alias("n"))).unionByName(moves.select(*GROUP, F.col("to_shard").alias("shard"), F.col("granted").alias("n")))
         after = materialize(flows.groupBy(*GROUP, "shard").agg(F.sum("n").alias("n")).where("n > 0"), "state")
-        discard(state)
+        discard(asks)
         discard(moves)
+        kept = kept_links(after)
+        if state is not best:
+            discard(state)
         state = after
-    return state
+        if kept > most:
+            discard(best)
+            best, most, idle = after, kept, 0
+        else:
+            idle += 1
+            if idle == patience:
+                break
+    if state is not best:
+        discard(state)
+    return best
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, doc_id: str = "doc_id", text: str = "text", groups_per_bucket: int = 1_000_000) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 60, doc_id: str = "doc_id", text: str = "text", groups_per_bucket: int = 1_000_000) -> DataFrame:
     """doc_id, size, text_crc32, text_hash, shard and slot (gapless from 0 in its shard) of every row."""
     source = slim(docs, doc_id=doc_id, text=text)
     rows = source.select(
