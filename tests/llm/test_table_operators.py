@@ -170,12 +170,81 @@ def test_articles_are_cut_out():
     assert html.main_text("<p>" + "word " * 200_000 + "</p>").count("word") == 200_000
 
 
+def wrapper_of(pages):
+    """Wrappers of equal shapes merged in any order, then in order of their shapes."""
+    held = {}
+    for page in pages:
+        tree = html.grown(page)
+        key, own = html.xxhash.xxh64_intdigest(html.shape_of(tree)) >> 1, html.of_page(tree)
+        held[key] = html.merged(held[key], own) if key in held else own
+    whole = None
+    for key in sorted(held):
+        whole = held[key] if whole is None else html.merged(whole, held[key])
+    return html.ready(whole)
+
+
 def test_wrapper_finds_slots_groups_and_options():
-    pages = [html.stream(f"<ul>{'<li>x' * n}</ul><p>Site</p><h1>{t}</h1>{'<i>new</i>' if n > 2 else ''}") for n, t in ((2, "a"), (3, "b"))]
-    wrapper = html.infer_wrapper(pages)
-    text = html.expression(wrapper)
-    assert "( <li> x )+" in text and "<h1> # </h1>" in text and "( <i> new </i> )?" in text
-    assert html.constant_texts(pages, wrapper) == {"x", "Site"}
+    pages = [f"<ul>{'<li>x' * n}</ul><p>Site</p><h1>{t}</h1>{'<div>new</div>' if n > 2 else ''}" for n, t in ((2, "a"), (3, "b"))]
+    text = html.expression(wrapper_of(pages))
+    assert "( <li> li= </li> )+" in text and "p= h1#" in text and "( <div> div= </div> )?" in text
+
+
+def written_pages(rng, count, declared):
+    """Pages of one layout with the main text of each; ``declared`` names the parts, else all are plain elements."""
+    say = lambda n: " ".join(rng.choice(["lo", "ra", "mi", "so", "na", "ti"]) + rng.choice(["ku", "pe", "du", "ma"]) for _ in range(n))
+    nav, article, footer, ad = ("nav", "article", "footer", ' class="ad"') if declared else ("div", "div", "div", "")
+    out = []
+    for i in range(count):
+        blocks = [say(rng.randint(2, 6)), *(say(rng.randint(1, 40)) for _ in range(rng.randint(1, 6)))]
+        body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+        menu = "".join(f'<li><a href="/{j}">{say(2)}</a></li>' for j in range(5))
+        alert = "<div>Our site is in beta</div>" if i % 3 else ""
+        out.append((f"<body><{nav}><ul>{menu}</ul></{nav}>{alert}<div{ad}>{say(4)}</div><{article}>{body}</{article}><{footer}>{say(5)}</{footer}></body>", "\n\n".join(blocks)))
+    return out
+
+
+@pytest.mark.parametrize("declared", [True, False])
+def test_wrappers_decide_the_main_text(spark, declared):
+    rng = random.Random(31)
+    pages = {h: written_pages(rng, 40, declared) for h in ("a.org", "b.org")}
+    rows = [(i, f"http://{h}/{i}", page, h) for h in pages for i, (page, _) in enumerate(pages[h])]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string").repartition(5)
+    for limit in (32 << 20, 0):
+        found = {(r["url"]): r["text"] for r in html.extract_text(table, broadcast_bytes=limit).collect()}
+        assert found == {f"http://{h}/{i}": text for h in pages for i, (_, text) in enumerate(pages[h])}
+    alone = [html.main_text(page) == text for h in pages for page, text in pages[h]]
+    assert all(alone) if declared else not all(alone)  # without a wrapper some results change
+    empty = html.Node("page", 0, [], [])
+    assert declared or any(html.main_text(page, empty) != text for page, text in pages["a.org"])
+
+
+def test_wrappers_do_not_depend_on_partitions(spark):
+    rng = random.Random(33)
+    pages = [page + "<div><p>x</p></div>" * rng.randint(0, 3) + "<section>y</section>" * rng.randint(0, 1) for page, _ in written_pages(rng, 60, False)]
+    wanted = html.expression(wrapper_of(pages))
+    table = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
+    for parts in (1, 7):
+        found = html.host_wrappers(table.repartition(parts)).collect()
+        assert [html.expression(html.unpacked(html.json.loads(r["wrapper"]))) for r in found] == [wanted]
+    assert html.host_wrappers(table, bucket_shapes=2).count() == 1
+
+
+def test_article_blocks_stay_whatever_their_class_names():
+    pages = [f"<article><h1>t{i}</h1><div class='share-prices'><p>{'long text of the story ' * 20}{i}</p></div><div class='share'>tell a friend</div></article>" for i in range(12)]
+    wrapper = wrapper_of(pages)
+    assert html.main_text(pages[3], wrapper) == f"t3\n\n{'long text of the story ' * 20}3"
+    notice = [f"<div><p>story {i} goes on</p><p>All rights reserved</p></div>" for i in range(12)]
+    assert html.main_text(notice[3], wrapper_of(notice)) == "story 3 goes on"
+    copies = [notice[0]] * 12
+    assert html.main_text(copies[0], wrapper_of(copies)) == "story 0 goes on\n\nAll rights reserved"
+
+
+def test_odd_pages_are_read_whole():
+    wide = "<div>" + "".join(f"<{t}>{i} w</{t}>" for i in range(300) for t in ("h2", "p", "section")) + "</div>"
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>end</p>"
+    assert html.main_text(wide).count("w") == 900 and html.main_text(wide, wrapper_of([wide, wide.replace("w", "w w"), deep])).count("w") == 900
+    assert html.main_text(deep) == "deep\n\nend"
+    assert html.main_text("<table><tr><td>a<td>b<tr><td>c</table><ul><li>d<li>e<ul><li>f</ul><li>g</ul>") == "a\n\nb\n\nc\n\nd\n\ne\n\nf\n\ng"
 
 
 def test_template_texts_go_where_no_article_is_declared(spark):
