@@ -9,12 +9,15 @@ key of the universe is listed if the first level that rejects it is an even one.
 each verdict, and the longest listed key decides.
 
 Bounds: bit arrays are built by aggregation and have a size limit (``most_bytes``), checked before a level
-comes to the driver; beyond it the call fails rather than answer wrongly. Rules are given as a list. Levels
-after the first hold false positives only, so they shrink by the false positive rate.
+comes to the driver. Where a level would be larger, the keys are dealt into parts by hash, each part has
+cascades of its own, and the URLs are held against one part after the other, without a shuffle and with the
+same result. Rules are given as a list. Levels after the first hold false positives only, so they shrink by
+the false positive rate.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path, which no rule fits; a URL whose
 path is empty fits no rule whose path is ``/``; repeated rows give a row each; without rules, or with an
-empty table, every verdict is the default.
+empty table, every verdict is the default. Two rules that fit one URL and are equally long are the same key; if
+that key is listed under both verdicts, the one that sorts first (allow) holds.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ from tidemark.llm.common import ascii_lower, slim
 from tidemark.session import materialize
 
 
+class TooLarge(ValueError):
+    """A level of a cascade would be larger than allowed."""
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str  # allow or block
@@ -102,7 +109,7 @@ def build_level(keys: DataFrame, level: int, rate: float, most_bytes: int) -> Le
         return None
     size, functions = bits_for(count, rate)
     if size // 8 > most_bytes:
-        raise ValueError(f"level {level} needs {size // 8} bytes for {count} keys; most_bytes is {most_bytes}")
+        raise TooLarge(f"level {level} needs {size // 8} bytes for {count} keys; most_bytes is {most_bytes}")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,10 +136,10 @@ def passing(keys: DataFrame, level: int, found: Level) -> DataFrame:
     return keys.select("key", *key_hashes(level)).mapInArrow(keep, "key string")
 
 
-def build_cascade(universe: DataFrame, listed: list[str], rate: float = 0.001, most_bytes: int = 64 << 20, most_levels: int = 64) -> list[Level]:
-    """Levels that tell the ``listed`` keys from all other keys of ``universe`` (column key, distinct)."""
+def build_cascade(universe: DataFrame, listed: list[str], rate: float = 0.001, most_bytes: int = 64 << 20, part: tuple[int, int] = (0, 1), most_levels: int = 64) -> list[Level]:
+    """Levels that tell the ``listed`` keys of a part from all other keys of ``universe`` (column key, distinct)."""
     spark = universe.sparkSession
-    yes = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
+    yes = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string").where(part_of(F.col("key"), part[1]) == part[0])
     first = build_level(yes, 0, rate, most_bytes)
     if first is None:
         return []
@@ -170,22 +177,51 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", rate
     keyed = source.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), rules))
     universe = materialize(keyed.select(F.explode("keys").alias("key")).distinct(), "universe")
     verdicts = sorted({r.verdict for r in rules})
-    cascades = [build_cascade(universe, [r.key for r in rules if r.verdict == v], rate, most_bytes) for v in verdicts]
+    cascades = part_cascades(universe, rules, verdicts, rate, most_bytes)
+    parts, kind = len(cascades), source.schema["page_id"].dataType.simpleString()
+    found = keyed.select("*", none.alias("rule"), F.lit(default).alias("verdict"))
+    for number, levels in enumerate(cascades):
+        found = judged_by(found, levels, verdicts, number, parts, f"page_id {kind}, host string, path string, keys array<string>, rule string, verdict string")
+    return found.drop("keys")
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
+
+
+def part_cascades(universe: DataFrame, rules: list[Rule], verdicts: list[str], rate: float, most_bytes: int) -> list[list[list[Level]]]:
+    """For each part of the keys, a cascade for each verdict: as few parts (a power of two) as keep all levels within ``most_bytes``."""
+    parts = 1
+    while True:
+        try:
+            out = []
+            for number in range(parts):
+                own = universe.where(part_of(F.col("key"), parts) == number)
+                out.append([build_cascade(own, [r.key for r in rules if r.verdict == v], rate, most_bytes, (number, parts)) for v in verdicts])
+            return out
+        except TooLarge:
+            if most_bytes < 64 or parts >= 1 << 16:
+                raise
+            parts *= 2
+
+
+def judged_by(rows: DataFrame, cascades: list[list[Level]], verdicts: list[str], number: int, parts: int, schema: str) -> DataFrame:
+    """``rows`` after the keys of one part: the longest listed key so far, and its verdict."""
     deepest = max(len(c) for c in cascades)
-    hashed = keyed.select("page_id", "host", "path", "keys", *[F.transform("keys", seeded(2 * n + i)).alias(f"h{n}_{i}") for n in range(deepest) for i in range(2)])
+    own = F.filter("keys", lambda k: part_of(k, parts) == number) if parts > 1 else F.col("keys")
+    hashed = rows.select("*", own.alias("own")).select("*", *[F.transform("own", seeded(2 * n + i)).alias(f"h{n}_{i}") for n in range(deepest) for i in range(2)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("keys").flatten()
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("keys").offsets.to_numpy()))
+            keys = batch.column("own").flatten()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("own").offsets.to_numpy()))
             pairs = [tuple(batch.column(f"h{n}_{i}").flatten().to_numpy() for i in range(2)) for n in range(deepest)]
             listed = [is_listed(c, pairs[: len(c)], len(keys)) for c in cascades]
-            rule, verdict = [None] * batch.num_rows, [default] * batch.num_rows
+            rule, verdict = batch.column("rule").to_pylist(), batch.column("verdict").to_pylist()
             for at in np.flatnonzero(np.any(listed, axis=0)):
                 i, key = owner[at], keys[int(at)].as_py()
                 if rule[i] is None or len(key) > len(rule[i]):
                     rule[i], verdict[i] = key, next(v for v, x in zip(verdicts, listed, strict=True) if x[at])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path")), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "keys")), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "keys", "rule", "verdict"])
 
-    kind = source.schema["page_id"].dataType.simpleString()
-    return hashed.mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return hashed.mapInArrow(judge, schema)
