@@ -6,7 +6,11 @@ differences in rank, with the greatest difference for an n-gram that the profile
 
 Edge cases: a null text and a text without letters get ``und`` and score 0; a null id counts as the empty
 text in the fold; rows with a null language are predicted but not learned from; a table with no learnable
-row gives ``und`` for all; ties go to the language that sorts first.
+row gives ``und`` for all; ties go to the language that sorts first; very long texts are counted a stretch at
+a time with the same counts, with or without white space; other columns of the table are not read.
+
+Bounds: up to ``max_languages`` languages the profiles come to the driver and go to the tasks, ``size`` numbers
+each. Beyond that they stay a table, and documents' n-grams join it by n-gram, with the same result.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep_texts, slim, small_batches, text_spans
+from tidemark.llm.common import keep_texts, slim, small_batches
+from tidemark.session import materialize
 
 SHIFT = 21  # bits of a code point
 UNKNOWN = "und"
@@ -32,19 +37,22 @@ def letters() -> np.ndarray:
     return np.where(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000), points, 32)
 
 
-def gram_codes(text: str) -> Iterator[np.ndarray]:
-    """Codes of the 1- to 3-grams of each stretch of a text."""
-    for span in text_spans(text, 1 << 19):
-        points = letters()[np.frombuffer(f" {span.lower()} ".encode("utf-32-le"), np.uint32)]
+def gram_codes(text: str, size: int = 1 << 19) -> Iterator[np.ndarray]:
+    """Codes of the 1- to 3-grams of a text, ``size`` characters at a time; the last two points of a stretch are carried on."""
+    lowered = text.lower()
+    tail = np.array([32], np.int64)
+    for start in range(0, len(lowered), size):
+        part = lowered[start : start + size] + (" " if start + size >= len(lowered) else "")
+        points = np.concatenate([tail, letters()[np.frombuffer(part.encode("utf-32-le"), np.uint32)]])
         space = points == 32
         keep = np.ones(len(points), bool)
         keep[1:] = ~(space[1:] & space[:-1])
-        points, space = points[keep], space[keep]
-        if len(points) < 3:
-            continue
+        points, space, old = points[keep], space[keep], len(tail)
         two = (points[:-1] << SHIFT) | points[1:]
         three = (two[:-1] << SHIFT) | points[2:]
-        yield np.concatenate([points[~space], two, three[~space[1:-1]]])
+        first = max(0, old - 2)  # codes that end in a new point
+        yield np.concatenate([points[old:][~space[old:]], two[old - 1 :], three[first:][~space[1:-1][first:]]])
+        tail = points[-2:]
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -95,51 +103,91 @@ def language_gram_counts(docs: DataFrame, lang: str = "lang", text: str = "text"
     return parts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def learn_profiles(docs: DataFrame, size: int = 400, max_languages: int = 1000, lang: str = "lang", text: str = "text") -> dict[str, list[int]]:
+Profiles = dict[str, list[int]] | DataFrame
+
+
+def learn_profiles(docs: DataFrame, size: int = 400, max_languages: int = 1000, lang: str = "lang", text: str = "text") -> Profiles:
     """The ``size`` most frequent n-grams of each language, over all given rows.
 
-    What comes to the driver is at most ``size * max_languages`` numbers; more languages are an error.
+    A dictionary for up to ``max_languages`` languages, else a table of lang, code, rank (from 1).
     """
     ranked = language_gram_counts(docs, lang, text).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")))
-    rows = ranked.where(F.col("rank") <= size).select("lang", "code", "rank").limit(size * max_languages + 1).collect()
-    if len(rows) > size * max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    listed = materialize(ranked.where(F.col("rank") <= size).select("lang", "code", "rank"), "profiles")
+    if listed.where("rank = 1").limit(max_languages + 1).count() > max_languages:
+        return listed
     profiles: dict[str, list[int]] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
+    for row in sorted(listed.collect(), key=lambda r: (r["lang"], r["rank"])):
         profiles.setdefault(row["lang"], []).append(row["code"])
     return profiles
 
 
+def first_grams(text: str | None, size: int) -> np.ndarray:
+    """The most frequent n-grams of a text, the most frequent first."""
+    if not text:
+        return np.empty(0, np.int64)
+    codes, counts = gram_counts(text)
+    return codes[np.lexsort((codes, -counts))[:size]]
+
+
 class RankOrder:
-    """Compares the most frequent n-grams of a text with each profile."""
+    """Compares the most frequent n-grams of a text with each profile.
+
+    Kept by n-gram: the languages that list it, and their ranks. An n-gram that a profile lacks is as far away as
+    can be, so a language's distance is the greatest one less what each n-gram that it shares saves.
+    """
 
     def __init__(self, profiles: dict[str, list[int]], size: int) -> None:
         self.names, self.size = sorted(profiles), size
-        self.codes = np.unique(np.concatenate([np.asarray(p, np.int64) for p in profiles.values()])) if profiles else np.empty(0, np.int64)
-        self.ranks = np.full((len(self.names), len(self.codes) + 1), size, np.int32)
-        for i, name in enumerate(self.names):
-            self.ranks[i, np.searchsorted(self.codes, profiles[name])] = np.arange(len(profiles[name]))
-        #: A rank of its own for n-grams that no profile has: as far away as can be, whatever the document's rank.
-        self.absent = len(self.codes)
+        lists = [np.asarray(profiles[name][:size], np.int64) for name in self.names]
+        codes = np.concatenate([np.empty(0, np.int64), *lists])
+        order = np.argsort(codes, kind="stable")
+        self.codes, starts = np.unique(codes[order], return_index=True)
+        self.starts = np.append(starts, len(codes))
+        self.langs = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[order]
+        self.ranks = np.concatenate([np.empty(0, np.int64), *(np.arange(len(x)) for x in lists)])[order]
 
     def classify(self, text: str | None) -> tuple[str, float]:
-        codes, counts = gram_counts(text) if text else (np.empty(0, np.int64), None)
-        if not len(codes) or not self.names:
+        found = first_grams(text, self.size)
+        if not len(found) or not self.names:
             return UNKNOWN, 0.0
-        order = np.lexsort((codes, -counts))[: self.size]
-        found = codes[order]
-        at = np.minimum(np.searchsorted(self.codes, found), self.absent - 1)
-        at = np.where(self.codes[at] == found, at, self.absent)
-        ranks = self.ranks[:, at]
-        apart = np.where(ranks == self.size, self.size, np.abs(ranks - np.arange(len(found))))
-        distance = apart.sum(axis=1)
-        best = int(distance.argmin())
-        return self.names[best], float(1 - distance[best] / (self.size * len(found)))
-
-
-def identify_language(docs: DataFrame, profiles: dict[str, list[int]], size: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        at = np.minimum(np.searchsorted(self.codes, found), len(self.codes) - 1)
+        places = np.flatnonzero(self.codes[at] == found)
+        begin, held = self.starts[at[places]], self.starts[at[places] + 1] - self.starts[at[places]]
+        entries = np.arange(held.sum()) + np.repeat(begin - (np.cumsum(held) - held), held)
+        apart = np.abs(self.ranks[entries] - np.repeat(places, held))
+        saved = np.bincount(self.langs[entries], self.size - apart, len(self.names))
+        best = int(saved.argmax())
+        return self.names[best], float(saved[best] / (self.size * len(found)))
+
+
+def joined_languages(source: DataFrame, profiles: DataFrame, size: int) -> DataFrame:
+    """doc_id, text_hash, lang_pred, score of distinct rows by a join on n-grams, for any number of languages."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            found = [first_grams(value.as_py(), size) for value in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "codes"])
+
+    each = source.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(listed, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash bigint, codes array<bigint>")
+    key = ["doc_id", "text_hash"]
+    each = materialize(each.groupBy(*key).agg(F.first("codes").alias("codes")), "grams")
+    places = each.select(*key, F.size("codes").alias("held"), F.posexplode("codes").alias("place", "code"))
+    met = places.join(profiles, "code").groupBy(*key, "held", "lang").agg(F.sum(size - F.abs(F.col("rank") - 1 - F.col("place"))).alias("saved"))
+    best = met.groupBy(*key, "held").agg(F.min(F.struct((-F.col("saved")).alias("less"), "lang")).alias("best"))
+    best = best.select(F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), F.col("best.lang").alias("found"), (-F.col("best.less") / (size * F.col("held"))).alias("share"))
+    least = profiles.agg(F.min("lang").alias("least"))  # one row
+    joined = each.select(*key, F.size("codes").alias("held")).join(best, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("text_hash") == F.col("to_hash")), "left").crossJoin(F.broadcast(least))
+    some = F.col("held") > 0
+    return joined.select(*key, F.when(some, F.coalesce("found", "least")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), F.when(some, F.coalesce("share", F.lit(0.0))).otherwise(F.lit(0.0)).alias("score"))
+
+
+def identify_language(docs: DataFrame, profiles: Profiles, size: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for each row; the text alone decides."""
     source = slim(docs, doc_id=doc_id, text=text)
+    if isinstance(profiles, DataFrame):
+        found = joined_languages(source, profiles, size).withColumnsRenamed({"doc_id": "to_id", "text_hash": "to_hash"})
+        same = F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.xxhash64("text") == F.col("to_hash"))
+        return source.join(found, same).select("doc_id", "lang_pred", "score")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = RankOrder(profiles, size)
@@ -155,8 +203,12 @@ def learnable(docs: DataFrame, held_out: Column, lang: str = "lang") -> DataFram
     return docs.where(~held_out & F.col(lang).isNotNull())
 
 
-def in_known_language(docs: DataFrame, profiles: dict[str, list[int]], least_score: float = 0.2, size: int = 400, text: str = "text") -> DataFrame:
+def in_known_language(docs: DataFrame, profiles: Profiles, least_score: float = 0.2, size: int = 400, text: str = "text") -> DataFrame:
     """``docs`` without the rows that have no letter or are near no profile. Without profiles only the former go."""
+    if isinstance(profiles, DataFrame):
+        texts = docs.select(F.xxhash64(text).alias("doc_id"), F.col(text).alias("text")).distinct()
+        near = joined_languages(texts, profiles, size).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+        return docs.join(near.select(F.col("text_hash").alias("near_hash")), F.xxhash64(text) == F.col("near_hash"), "left_semi")
 
     def test() -> Callable[[str | None], bool]:
         model = RankOrder(profiles, size)
