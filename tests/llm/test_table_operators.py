@@ -56,6 +56,19 @@ def test_filters_have_a_checked_bound(spark):
         urlfilter.build_level(spark.range(1000).select(F.col("id").cast("string").alias("key")), 0, 0.001, most_bytes=64)
 
 
+def test_parts_of_keys_give_the_same_verdicts(spark):
+    rules = [Rule("block" if i % 3 else "allow", f"h{i}.org", "/") for i in range(200)]
+    pages = spark.createDataFrame([(i, f"http://x.h{i % 400}.org/{i}") for i in range(800)], "page_id bigint, url string").repartition(3)
+    whole, dealt = ({tuple(r) for r in urlfilter.judge_urls(pages, rules, most_bytes=n).collect()} for n in (1 << 20, 128))
+    assert whole == dealt == {(i, *judged(f"http://x.h{i % 400}.org/{i}", rules)) for i in range(800)}
+
+
+def test_equal_rules_of_two_verdicts_have_an_order(spark):
+    pages = spark.createDataFrame([(1, "http://x.net/")], "page_id bigint, url string")
+    for rules in ([Rule("block", "net", "/"), Rule("allow", "net", "/")], [Rule("allow", "net", "/"), Rule("block", "net", "/")]):
+        assert [tuple(r)[3:] for r in urlfilter.judge_urls(pages, rules).collect()] == [("net/", "allow")]
+
+
 def test_urls_without_rules_or_rows(spark):
     pages = spark.createDataFrame([(1, "http://x.net/")], "page_id bigint, url string")
     assert [r["verdict"] for r in urlfilter.judge_urls(pages, []).collect()] == ["allow"]

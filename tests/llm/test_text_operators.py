@@ -339,6 +339,58 @@ def test_profiles_are_counts_over_all_rows(spark):
     assert counts[a] == 3 and counts[(a << 21) | b] == 3 and counts[((32 << 21) | a) << 21 | b] == 3 and ord("z") not in counts
 
 
+def grams_of(text):
+    points = [c if c.isalpha() else " " for c in f" {(text or '').lower()} "]
+    kept = [c for i, c in enumerate(points) if c != " " or not i or points[i - 1] != " "]
+    out = Counter(c for c in kept if c != " ")
+    out.update("".join(kept[i : i + 2]) for i in range(len(kept) - 1))
+    out.update("".join(kept[i : i + 3]) for i in range(len(kept) - 2) if kept[i + 1] != " ")
+    return out
+
+
+def test_grams_do_not_depend_on_stretches():
+    rng = random.Random(16)
+    for pool in ("ab c", "abΣς. ", "語文字", "a\tb", "x"):
+        for size in (1, 2, 3, 7, 1 << 19):
+            text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 60)))
+            codes = Counter()
+            for part in langid.gram_codes(text, size):
+                codes.update(part.tolist())
+            code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+            assert codes == Counter({code(g): n for g, n in grams_of(text).items()}), (text, size)
+
+
+def test_languages_equal_brute_force(spark):
+    rng = random.Random(17)
+    pools = {f"l{i}": [rng.choice("abcdefghij") + rng.choice("klmnop") + rng.choice("qrstuv") for _ in range(6)] for i in range(5)}
+    docs = [(i, " ".join(rng.choice(pools[lang]) for _ in range(rng.randint(1, 30))), lang) for i, lang in enumerate(rng.choice(list(pools)) for _ in range(80))]
+    docs += [(100, None, None), (101, "12", None), (102, "語" * 50, None), (103, "語" * 50, None), (104, "ab " * 3, "l0"), (104, "ab " * 3, "l0"), (None, "zz", None)]
+    counts = {}
+    for _, text, lang in docs:
+        if lang:
+            counts.setdefault(lang, Counter()).update(grams_of(text))
+    first = lambda c, n: sorted(c, key=lambda g: (-c[g], [0] * (3 - len(g)) + [ord(x) for x in g]))[:n]
+    profiles = {lang: first(c, 400) for lang, c in counts.items()}
+
+    def predicted(text):
+        own = first(grams_of(text), 400)
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        apart = {lang: sum(abs(p.index(g) - i) if g in p else 400 for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(apart), key=lambda x: apart[x])
+        return best, round(1 - apart[best] / (400 * len(own)), 9)
+
+    wanted = sorted((str(i), *predicted(t)) for i, t, _ in docs)
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, lang string, codes string").repartition(3)
+    for most in (1000, 2):
+        learned = langid.learn_profiles(langid.learnable(df, F.lit(False)), max_languages=most)
+        assert isinstance(learned, dict) == (most == 1000)
+        found = langid.identify_language(df, learned).collect()
+        assert sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 9)) for r in found) == wanted
+        kept = sorted(str(r["doc_id"]) for r in langid.in_known_language(df, learned).collect())
+        assert kept == sorted(i for i, name, score in wanted if name != "und" and score >= 0.2)
+
+
 def test_language_without_rows(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert langid.learn_profiles(df) == {}
@@ -387,6 +439,55 @@ def test_quotation_counts_less():
     assert matcher.evidence(None) == matcher.evidence("") == (0.0, 0.0, 0.0)
 
 
+@pytest.mark.parametrize("size", [1, 5, 30, 200])
+def test_evidence_does_not_depend_on_stretches(monkeypatch, size):
+    rng = random.Random(size)
+    matcher = toxicity.Matcher(toxicity.Lexicon({"scoundrel": 4.0, "idiot": 3.0}, {"zorg": 2.0}))
+    spans = toxicity.text_spans
+    pools = (["scoundrel", "scoundral", '"', "said", "you", "idiot", "word.", "zorgna", "“", "”", "x" * 50, "ΑΣ.α"], ["語文字", "scoundrel語", "«", "»", "vous"])
+    for pool in pools:
+        for gap in (" ", "\t", "\n", "\u3000", ""):
+            for _ in range(20):
+                text = gap.join(rng.choice(pool) for _ in range(rng.randint(0, 80)))
+                whole = matcher.evidence(text)
+                monkeypatch.setattr(toxicity, "text_spans", lambda t: spans(t, size))
+                assert matcher.evidence(text) == whole
+                monkeypatch.undo()
+
+
+def test_long_and_short_texts_score_alike():
+    matcher = toxicity.Matcher(toxicity.Lexicon({"scoundrel": 4.0}))
+    for filler in ("x" * (1 << 20), "lona " * 300_000, "lona\t" * 300_000, "語" * (1 << 21)):
+        for end in (" scoundrel", " he said scoundrel", ' he wrote "you scoundrel" there'):
+            assert matcher.evidence(filler + end) == matcher.evidence("lona" + end), (filler[:5], end)
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    lexicon = toxicity.Lexicon({"scoundrel": 4.0, "rascal": 3.0}, {"zorg": 2.0})
+    model = toxicity.Model(lexicon, [-3.0, 1.0, 0.8, 0.1])
+    rng = random.Random(23)
+    pool = ["scoundrel", "scoundral", "rascall", "zorgna", "calm", "lona", "you", "said"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))) for i in range(60)] + [(90, None), (91, "")]
+
+    def score(text):
+        words, best, n = (text or "").split(), {}, 0
+        for i, w in enumerate(words):
+            near = [(distance(w, t), -x, t) for t, x in lexicon.words.items() if distance(w, t) <= toxicity.allowed_edits(t)]
+            found = (0, -2.0, "zorg") if w.startswith("zorg") and len(w) > 4 else min(near, default=None)
+            if found:
+                edits, weight, term = found
+                around, before = words[max(0, i - 8) : i + 9], words[max(0, i - 8) : i]
+                worth = -weight / (1 + edits) * (0.7 if "said" in before else 1.0) * (1.25 if "you" in around else 1.0)
+                best[term, edits > 0] = max(best.get((term, edits > 0), 0), worth)
+                n += 1
+        parts = [sum(w for (_, f), w in best.items() if f is kind) for kind in (False, True)]
+        z = -3 + parts[0] + 0.8 * parts[1] + 0.1 * np.log1p(n)
+        return 1 / (1 + np.exp(-z))
+
+    found = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(frame(spark, rows), model).collect()}
+    assert all(abs(found[i] - score(t)) < 1e-9 for i, t in rows)
+
+
 def test_toxicity_learns_words_and_stems(spark):
     rng = random.Random(6)
     calm = [f"{a}{b}" for a in ("lo", "ra", "mi", "so") for b in ("na", "ti", "ku", "pe", "du")]

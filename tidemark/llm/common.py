@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,19 +52,19 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
             yield batch.slice(start)
 
 
+SPACE = re.compile(r"\s")
+
+
 def text_spans(text: str, size: int = 1 << 20) -> Iterator[str]:
-    """Pieces of a long text, cut after white space where there is any, so that work on it needs bounded memory."""
-    if len(text) <= size:
-        yield text
-        return
+    """Pieces of ``size`` characters or more that end after white space: no word is cut, a run without white space is one piece."""
     start = 0
-    while start < len(text):
-        end = min(len(text), start + size)
-        if end < len(text):
-            space = max(text.rfind(" ", start, end), text.rfind("\n", start, end))
-            end = space + 1 if space > start else end
-        yield text[start:end]
-        start = end
+    while len(text) - start > size:
+        found = SPACE.search(text, start + size)
+        if not found:
+            break
+        yield text[start : found.end()]
+        start = found.end()
+    yield text[start:] if start else text
 
 
 def keep_texts(docs: DataFrame, test: Callable[[], Callable[[str | None], bool]], text: str = "text") -> DataFrame:

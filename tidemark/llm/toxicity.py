@@ -10,29 +10,34 @@ fitted to the same labelled rows.
 
 Bounds: at most ``per_class`` labelled rows of each class are learned from (those of the smallest id hash)
 and at most ``lexicon`` terms are kept; both are parameters. In the logistic fit a row of a class that was cut
-counts for as many labelled rows as it stands for, so the prior is that of all labels. Scoring reads every
-text whole.
+counts for as many labelled rows as it stands for, so the prior is that of all labels. Words of ``SHORTEST`` to
+``LONGEST`` letters can become terms, and each sum of evidence counts up to ``MOST_EVIDENCE``, where a score is 1 in
+all but name. Scoring reads every text whole: stretches end after white space only, and their windows reach over.
 
 Edge cases: a null or empty text gets the score of a text without a match; labels that are null, or whose
 document is missing, are not learned from; a document with several labels is toxic if any says so; without
-a toxic label all scores are those of the prior, below 0.5; a null id counts as the empty text in the fold.
+a toxic label all scores are those of the prior, below 0.5; a null id counts as the empty text in the fold. Ties
+have an order everywhere (of equal labelled texts one is learned from, of copies the one of the smallest hash, of
+equally good terms the longer, then the first by name), so a model does not depend on partitions.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import keep_texts, slim, small_batches, text_spans
-from tidemark.session import materialize
+from tidemark.session import discard, materialize
 
 WORD = re.compile(r"[^\W_]+")
 #: Words that report speech, words of address, and quotation marks that open and close.
@@ -40,7 +45,9 @@ REPORTING = frozenset("said says wrote writes quote quoted quotes quoting called
 ADDRESS = frozenset("you your youre u ur yourself tu te toi vous du dich dir ihr euch usted ustedes vosotros".split())
 QUOTES = (("“", "”"), ("«", "»"), ("„", "“"), ("‹", "›"), ("「", "」"))
 WINDOW = 8
-SHORTEST, SHORTEST_STEM, LONGEST_STEM = 3, 4, 10
+SHORTEST, SHORTEST_STEM, LONGEST_STEM, LONGEST = 3, 4, 10, 40
+#: Nats of evidence beyond which a score no longer rises.
+MOST_EVIDENCE = 40.0
 
 
 def allowed_edits(term: str) -> int:
@@ -191,27 +198,29 @@ class Matcher:
     def evidence(self, text: str | None) -> tuple[float, float, float]:
         """Of exact terms, of misspelled terms (both weighted by context), and the logarithm of the number of matches.
 
-        A long text is read a stretch at a time; windows end where a stretch does.
+        A long text is read a stretch at a time, with the words on both sides that a window may reach.
         """
         best: dict[tuple[str, bool], float] = {}
-        matches = 0
-        for part in text_spans(text or ""):
-            matches += self.matches(part.lower(), best)
+        matches, before = 0, ""
+        for part, after in stretches(text or ""):
+            matches += self.matches(before, part, after, best)
+            before = last_words(part)
         exact, fuzzy = (sum(w for (_, f), w in best.items() if f is kind) for kind in (False, True))
-        return min(exact, 40.0), min(fuzzy, 40.0), math.log1p(matches)
+        return min(exact, MOST_EVIDENCE), min(fuzzy, MOST_EVIDENCE), math.log1p(matches)
 
-    def matches(self, text: str, best: dict[tuple[str, bool], float]) -> int:
-        """The matches of one stretch; ``best`` keeps the greatest worth of each term."""
+    def matches(self, before: str, part: str, after: str, best: dict[tuple[str, bool], float]) -> int:
+        """The matches of ``part`` between what stands on its sides; ``best`` keeps the greatest worth of each term."""
         known, hits = self.known, {}
-        for word in set(WORD.findall(text)):
+        for word in set(WORD.findall(part)):
             found = known[word] if word in known else self.look_up(word)
             if found:
                 hits[word] = found
         if not hits:
             return 0
+        text = before + part + after
         spans, matches = [m.span() for m in WORD.finditer(text)], 0
         for i, (s, e) in enumerate(spans):
-            if found := hits.get(text[s:e]):
+            if len(before) <= s < len(before) + len(part) and (found := hits.get(text[s:e])):
                 term, weight, edits = found
                 matches += 1
                 key, worth = (term, edits > 0), weight / (1 + edits) * context_factor(text, spans, i)
@@ -219,6 +228,26 @@ class Matcher:
         return matches
 
 
+def stretches(text: str) -> Iterator[tuple[str, str]]:
+    """Stretches of the lower-cased text, of ``WINDOW`` words at least, and the ``WINDOW`` words after each with the mark that follows."""
+    held, now = "", None
+    for part in text_spans(text):
+        held += part.lower()
+        found = list(islice(WORD.finditer(held), WINDOW + 1))
+        if len(found) <= WINDOW:
+            continue
+        if now is not None:
+            yield now, held[: found[WINDOW - 1].end() + 1]
+        held, now = "", held
+    yield (now or "") + held, ""
+
+
+def last_words(text: str) -> str:
+    """The end of ``text`` from its last ``WINDOW`` words on."""
+    starts = deque((m.start() for m in WORD.finditer(text)), WINDOW)
+    return text[starts[0] :] if starts else ""
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
@@ -238,30 +267,53 @@ def labelled_sample(labels: DataFrame, learn: Column, per_class: int, label: str
     return sample, {c: max(n, per_class) / per_class for c, n in totals.items()}
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct hashes of five-word shingles, ascending; a text of fewer words is one."""
+    words = (text or "").lower().split()
+    shingles = [" ".join(x) for x in zip(*(words[i:] for i in range(5)))] or [" ".join(words)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles], np.uint64))
+
+
 def unlike_texts(sample: DataFrame, hashes: int = 3) -> DataFrame:
     """One row of each class and group of copies: a row goes if its shingles equal four fifths of those of a row that stays beside it.
 
     Else the words of one document that was copied often would look like words of many toxic documents. Rows
-    meet by a smallest shingle hash, for each of several hashes; what they share is then counted.
+    meet by a smallest shingle hash, for each of several hashes; what they share is then counted. Shingles are
+    kept as bytes, and texts stay aside until the rows that go are known.
     """
-    hashed = F.transform(F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+"), lambda w: F.xxhash64(w))
-    rows = sample.select("toxic", "text", hashed.alias("words"))
-    places = F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0)))
-    rows = rows.select("toxic", "text", F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).alias("shingles"))
-
-    def smallest(seed: int) -> Column:
-        return F.array_min(F.transform("shingles", lambda h: F.xxhash64(F.lit(seed), h)))
-
-    left = rows.withColumn("name", F.xxhash64("text")).dropDuplicates(["toxic", "name"])
-    left = materialize(left.select("toxic", "name", "text", "shingles", *[smallest(i).alias(f"m{i}") for i in range(hashes)]), "rows")
-    for i in range(hashes):
-        key = [F.col("toxic").alias("to_toxic"), F.col(f"m{i}").alias("to_hash")]
-        first = left.groupBy(*key).agg(F.min("name").alias("to_name"), F.min_by("shingles", "name").alias("to_shingles"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-        met = left.join(materialize(first, "first"), (F.col("toxic") == F.col("to_toxic")) & (F.col(f"m{i}") == F.col("to_hash")), "left")
-        shared = F.size(F.array_intersect("shingles", "to_shingles"))
-        copy = (F.col("name") != F.col("to_name")) & (9 * shared >= 4 * (F.size("shingles") + F.size("to_shingles")))  # shared / union >= 4 / 5
-        left = materialize(met.where(~F.coalesce(copy, F.lit(False))).select(*left.columns), "rows")
-    return left.select("toxic", "text")
+    rows = materialize(sample.withColumn("name", F.xxhash64("text")).groupBy("toxic", "name").agg(F.min("text").alias("text")), "rows")
+    factors = np.random.default_rng(17).integers(0, 1 << 64, hashes, np.uint64) | np.uint64(1)
+    keys = [f"m{i}" for i in range(hashes)]
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", 1 << 20):
+            sets = [shingle_set(t.as_py()) for t in batch.column("text")]
+            least = [pa.array([int((s * f).min() >> np.uint64(1)) for s in sets], pa.int64()) for f in factors]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("name"), pa.array([s.tobytes() for s in sets], pa.binary()), *least], ["toxic", "name", "shingles", *keys])
+
+    def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "shingles"):
+            stays = []
+            for mine, other in zip(batch.column("shingles"), batch.column("to_shingles"), strict=True):
+                if not other.is_valid:
+                    stays.append(True)
+                    continue
+                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (mine, other))
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                stays.append(9 * shared < 4 * (len(a) + len(b)))  # shared / union < 4 / 5
+            yield batch.filter(pa.array(stays, pa.bool_())).select(["toxic", "name", "shingles", *keys])
+
+    schema = ", ".join(["toxic int, name bigint, shingles binary", *(f"{k} bigint" for k in keys)])
+    left = materialize(rows.mapInArrow(shingled, schema), "shingled")
+    for key in keys:
+        first = left.groupBy("toxic", key).agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+        first = materialize(first.join(left.select(F.col("toxic").alias("of_toxic"), F.col("name").alias("of_name"), F.col("shingles").alias("to_shingles")), (F.col("toxic") == F.col("of_toxic")) & (F.col("first") == F.col("of_name"))).select("toxic", key, "first", "to_shingles"), "first")
+        met = left.join(first, ["toxic", key], "left").select(*left.columns, F.when(F.col("name") != F.col("first"), F.col("to_shingles")).alias("to_shingles"))
+        after = materialize(met.mapInArrow(unlike, schema), "shingled")
+        discard(left)
+        discard(first)
+        left = after
+    return rows.join(left.select("toxic", "name"), ["toxic", "name"], "left_semi").select("toxic", "text")
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -283,7 +335,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
 
         for batch in small_batches(batches, "text", 2 << 20):
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = {w for part in text_spans(text or "") for w in WORD.findall(part.lower()) if SHORTEST <= len(w) <= 40}
+                words = {w for part in text_spans(text or "") for w in WORD.findall(part.lower()) if SHORTEST <= len(w) <= LONGEST}
                 counts[toxic].update({f"w{w}" for w in words} | {f"s{w[:k]}" for w in words for k in range(SHORTEST_STEM, min(len(w) - 1, LONGEST_STEM) + 1)})
             if len(counts[0]) + len(counts[1]) > 150_000:
                 yield from flush()
