@@ -6,12 +6,17 @@ each run of windows that keep the same. Equal windows keep equal hashes, so ever
 of the kept hashes. A hit is extended to all windows of its run, and those are compared word by word.
 
 Short items have windows of their own length; documents are winnowed once for each window length that
-occurs in the benchmark, at most ``window`` lengths.
+occurs in the benchmark, at most ``window`` lengths. Where there are several, word hashes are written once and read
+for each length.
+
+Words are dealt into rows of ``BLOCK`` words, each with the words after it that its last windows reach, so what a
+row holds and costs after the split does not grow with the text, and a run of equal windows costs its length.
+Sides are broadcast up to ``broadcast_bytes``, added up first; beyond that the joins shuffle, with the same result.
 
 Edge cases: a null text has no words, and an item without words no window; results depend on the text alone
 and are joined back by id (null-safe) and text hash, so repeated rows and ids give a row each; an empty
 benchmark leaves every document clean; a window that many items share is one window with a list of items;
-words are split off with bounded work per row, and a very long document gives many small rows.
+a very long document gives many small rows once its words are split.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from tidemark.session import materialize
 #: What parts words: ASCII characters other than digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 5
+#: Words of a row.
+BLOCK = 4096
 
 
 def words(text: Column) -> Column:
@@ -73,8 +80,28 @@ def benchmark_windows(items: DataFrame, window: int, item_id: str, text: str) ->
     """item_id, length, content: every window of every item, as its words joined by a space."""
     each = slim(items, item_id=item_id, text=text).select("item_id", words(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     length = F.least(F.size("tokens"), F.lit(window))
-    starts = F.sequence(F.lit(1), F.size("tokens") - length + 1)
-    return each.select("item_id", length.alias("length"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice("tokens", i, length), " "))).alias("content"))
+    starts = F.sequence(F.lit(0), F.size("tokens") - length)
+    content = lambda s: F.array_join(F.transform(F.sequence(s, s + length - 1), lambda i: F.get(F.col("tokens"), i)), " ")
+    return each.select("item_id", length.alias("length"), F.explode_outer(F.transform(starts, content)).alias("content"))
+
+
+def blocks(source: DataFrame, window: int) -> DataFrame:
+    """doc_id, text_hash, base, tokens: the words from ``base`` on, ``BLOCK`` of them and those that their windows reach."""
+    # Elements are fetched one by one: inside a lambda, slice() reads the whole array each time.
+    split = source.select("doc_id", "text_hash", words(F.col("text")).alias("tokens"))
+    count = F.size("tokens")
+    numbers = F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int"))
+    places = lambda b: F.sequence(b * BLOCK, F.least((b + 1) * BLOCK + window - 1, count) - 1)
+    many = F.transform(numbers, lambda b: F.struct((b * BLOCK).alias("base"), F.transform(places(b), lambda i: F.get(F.col("tokens"), i)).alias("tokens")))
+    cut = F.when(count <= BLOCK, F.array(F.struct(F.lit(0).alias("base"), F.col("tokens").alias("tokens")))).otherwise(many)
+    return split.select("doc_id", "text_hash", F.explode_outer(cut).alias("block")).select("doc_id", "text_hash", "block.*")
+
+
+def small(side: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """``side``, broadcast if its values add up to ``broadcast_bytes`` at most."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(8) for f in side.schema.fields]
+    held = side.agg(F.sum(sum(sizes, F.lit(16)).cast("bigint"))).first()[0] or 0
+    return F.broadcast(side) if held <= broadcast_bytes else side
 
 
 def contamination(
@@ -86,13 +113,9 @@ def contamination(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    broadcast_rows: int = 200_000,
+    broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
-    """doc_id, text_hash, n_words, n_hit, n_items, item_ids and contaminated (n_hit > 0 and share * n_hit >= n_words) of every row.
-
-    The benchmark's kept hashes are broadcast only if they number ``broadcast_rows`` at most (a few MB); beyond
-    that the join shuffles, with the same result.
-    """
+    """doc_id, text_hash, n_words, n_hit, n_items, item_ids and contaminated (n_hit > 0 and share * n_hit >= n_words) of every row."""
     found = materialize(benchmark_windows(items, window, item_id, item_text).distinct(), "windows")
     contents = found.select("length", "content").distinct()
     lengths = sorted(r["length"] for r in contents.select("length").distinct().collect())  # at most ``window`` numbers
@@ -102,37 +125,39 @@ def contamination(
         none = F.lit(0).cast("bigint")
         return counted.select("*", none.alias("n_hit"), none.alias("n_items"), F.array().cast("array<string>").alias("item_ids"), F.lit(False).alias("contaminated"))
 
-    hashes = source.select("doc_id", "text_hash", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    hashes = blocks(source, window).select("doc_id", "text_hash", "base", F.transform("tokens", lambda w: F.xxhash64(w)).alias("hashes"))
+    if len(lengths) > 1:
+        hashes = materialize(hashes, "word-hashes")
+    block = ["doc_id", "text_hash", "base"]
     hits: DataFrame | None = None
     for length in lengths:
         k = min(GRAM, length)
         span = length - k + 1
         listed = contents.where(F.col("length") == length).select(gram_hashes(F.split("content", " "), k).alias("grams"))
-        listed = listed.select(F.array_min("grams").alias("gram")).distinct()
-        if listed.count() <= broadcast_rows:
-            listed = F.broadcast(listed)
-        own = hashes.select("doc_id", "text_hash", gram_of_hashes(F.col("hashes"), k).alias("grams"))
+        listed = small(listed.select(F.array_min("grams").alias("gram")).distinct(), broadcast_bytes)
+        own = hashes.select(*block, F.slice("hashes", F.lit(1), F.lit(BLOCK + length - 1)).alias("hashes") if length < window else F.col("hashes"))
+        own = own.select(*block, gram_of_hashes(F.col("hashes"), k).alias("grams"))
         # The outer form: a plain explode puts a filter on its input below all projections, and writes them out in it.
-        own = kept_runs(own, "grams", span).select("doc_id", "text_hash", F.explode_outer("runs").alias("run"))
-        met = own.select("doc_id", "text_hash", "run.*").join(listed, "gram", "left_semi")
-        met = met.select("doc_id", "text_hash", F.lit(length).alias("length"), "start", "end")
+        own = kept_runs(own, "grams", span).select(*block, F.explode_outer("runs").alias("run"))
+        met = own.select(*block, "run.*").join(listed, "gram", "left_semi")
+        met = met.select(*block, F.lit(length).alias("length"), "start", "end")
         hits = met if hits is None else hits.unionByName(met)
-    per_doc = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).agg(F.collect_set(F.struct("length", "start", "end")).alias("hits"))
-    per_doc = materialize(per_doc, "hits")
+    per_block = hits.groupBy(*[F.col(c).alias(f"hit_{c}") for c in block]).agg(F.collect_set(F.struct("length", "start", "end")).alias("hits"))
+    per_block = materialize(per_block, "hits")
 
     # Extend: all windows that keep a hash of the benchmark, told apart by their words.
-    once = source.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")))
-    tokens = once.select("doc_id", "text_hash", "hits", words(F.col("text")).alias("tokens"))
+    met_docs = per_block.select("hit_doc_id", "hit_text_hash").distinct()
+    once = source.join(met_docs, F.col("doc_id").eqNullSafe(F.col("hit_doc_id")) & (F.col("text_hash") == F.col("hit_text_hash")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("hit_doc_id")) & (F.col("text_hash") == F.col("hit_text_hash")) & (F.col("base") == F.col("hit_base"))
+    tokens = blocks(once, window).join(per_block, same).select(*block, "hits", "tokens")
 
     def windows(hit: Column) -> Column:
-        return F.transform(F.sequence(hit["start"], hit["end"]), lambda s: F.struct(s.alias("start"), hit["length"].alias("length")))
+        return F.transform(F.sequence(hit["start"], hit["end"]), lambda s: F.struct((F.col("base") + s).alias("start"), hit["length"].alias("length"), F.array_join(F.transform(F.sequence(s, s + hit["length"] - 1), lambda i: F.get(F.col("tokens"), i)), " ").alias("content")))
 
-    spans = tokens.withColumn("spans", F.array_distinct(F.flatten(F.transform("hits", windows))))
-    spans = spans.select("doc_id", "text_hash", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), F.array_join(F.slice("tokens", s["start"] + 1, s["length"]), " ").alias("content")))).alias("span"))
-    spans = spans.select("doc_id", "text_hash", "span.*").distinct()
+    spans = tokens.select("doc_id", "text_hash", F.explode_outer(F.flatten(F.transform("hits", windows))).alias("span")).select("doc_id", "text_hash", "span.*")
     keyed = materialize(contents.withColumn("window_id", F.monotonically_increasing_id()), "contents")
-    right = F.broadcast(keyed) if keyed.count() <= broadcast_rows else keyed
-    matched = materialize(spans.join(right, ["length", "content"]).select("doc_id", "text_hash", "start", "length", "window_id"), "matched")
+    matched = spans.join(small(keyed, broadcast_bytes), ["length", "content"]).select("doc_id", "text_hash", "start", "length", "window_id").distinct()
+    matched = materialize(matched, "matched")
 
     # Words inside any window: the union of intervals, in order of their start.
     key = ["doc_id", "text_hash"]
@@ -140,9 +165,8 @@ def contamination(
     before = F.max("end").over(Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     covered = longest.select(*key, F.greatest(F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))), F.lit(0)).alias("n"))
     n_hit = covered.groupBy(*key).agg(F.sum("n").cast("bigint").alias("n_hit"))
-    members = found.join(keyed, ["length", "content"]).select("window_id", "item_id").distinct()
-    members = F.broadcast(members) if members.count() <= broadcast_rows else members
-    by_item = matched.select(*key, "window_id").distinct().join(members, "window_id").select(*key, F.col("item_id").cast("string").alias("item_id")).distinct()
+    members = small(found.join(keyed, ["length", "content"]).select("window_id", F.col("item_id").cast("string").alias("item_id")).distinct(), broadcast_bytes)
+    by_item = matched.select(*key, "window_id").distinct().join(members, "window_id").select(*key, "item_id").distinct()
     named = by_item.groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.count(F.lit(1)).alias("n_items"))
     result = n_hit.join(named, (n_hit["doc_id"].eqNullSafe(named["doc_id"])) & (n_hit["text_hash"] == named["text_hash"])).select(n_hit["doc_id"].alias("hit_id"), n_hit["text_hash"].alias("hit_hash"), "n_hit", "n_items", "item_ids")
     joined = counted.join(result, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
