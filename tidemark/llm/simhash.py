@@ -3,8 +3,9 @@
 Two 64-bit fingerprints that differ in at most 3 bits share at least 5 of their 8 positional bytes. The
 index posts each distinct fingerprint under groups of 4 byte positions, the 14 blocks of the Steiner system
 S(3,4,8): any 5 positions contain a whole block, so every such pair meets under at least one of 14 keys of
-32 bits. Where fingerprints meet, the positional bytes that a pair shares are tallied, pairs below 5 are
-dropped and the rest verified by their differing bits.
+32 bits. (Lists of a single byte would each hold a 256th of all fingerprints; a block is the exact refinement of
+four of them.) In a list, the positional bytes that pairs share are tallied: pairs below 5, as most of those that
+share the block alone, are cut, and what remains is verified by its differing bits.
 
 A posting list that is longer than ``limit`` is split exactly, not capped: of its remaining bits, cut into
 4 groups, a pair within 3 bits agrees on one group whole, so each entry moves to 4 longer keys, until at
@@ -100,13 +101,25 @@ def longer_masks(mask: int) -> list[int]:
     return [mask | sum(1 << b for b in rest[x:y]) for x, y in zip(cuts, cuts[1:])]
 
 
-def close(differ: np.ndarray) -> np.ndarray:
-    """Count filter, then verification, of exclusive ors of pairs."""
-    spread = differ | (differ >> np.uint64(4))
-    spread |= spread >> np.uint64(2)
-    spread |= spread >> np.uint64(1)
-    tally = 8 - np.bitwise_count(spread & np.uint64(0x0101010101010101))
-    return (tally >= SHARED) & (np.bitwise_count(differ) <= DISTANCE)
+def positional(values: np.ndarray) -> np.ndarray:
+    """The 8 positional bytes of each fingerprint."""
+    return values.view(np.uint8).reshape(-1, 8)
+
+
+def tallied(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many positional bytes each of ``some`` shares with its partner in ``others`` (or with the only one)."""
+    return (some == others).sum(axis=1, dtype=np.int8)
+
+
+def close(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Verification of pairs that have passed the count filter."""
+    return np.bitwise_count(some ^ others) <= DISTANCE
+
+
+def linked(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are linked: those that share too few bytes are cut, the rest are verified."""
+    kept = np.flatnonzero(tallied(positional(some), positional(others)) >= SHARED)
+    return kept[close(some[kept], others[kept] if len(others) == len(some) else others)]
 
 
 def forest(values: np.ndarray) -> list[tuple[int, int]]:
@@ -115,7 +128,9 @@ def forest(values: np.ndarray) -> list[tuple[int, int]]:
     while len(left) > 1:
         root, left, todo = left[0], left[1:], [left[0]]
         while todo and len(left):
-            near = close(values[left] ^ values[todo.pop()])
+            at = todo.pop()
+            near = np.zeros(len(left), bool)
+            near[linked(values[left], values[at : at + 1])] = True
             found, left = left[near], left[~near]
             edges += [(int(root), int(x)) for x in found]
             todo += found.tolist()
@@ -132,7 +147,7 @@ def list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends = starts[:-1], ends[:-1]
         u, v, values = [], [], fp.view(np.uint64)
         two = starts[ends - starts == 2]
-        two = two[close(values[two] ^ values[two + 1])]
+        two = two[linked(values[two], values[two + 1])]
         u.append(fp[two])
         v.append(fp[two + 1])
         for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
@@ -194,8 +209,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return each.join(keepers, "fp").select("doc_id", "text_hash", "fp", F.col("keeper.doc_id").alias("component_id"), "keeper")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the smallest id."""
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id.
+
+    Texts are linked within ``DISTANCE`` bits or, where a ``similarity`` of shingle sets is asked for, by that. A
+    similarity of 0.8 is out of reach for the index: such a pair differs in 10 of 64 bits on average, which leaves no
+    positional byte that it must share. Its candidates come from keys of minima instead (``nearcopies``).
+    """
+    if similarity is not None:
+        from tidemark.llm import nearcopies
+
+        if (shingle, similarity) != (nearcopies.SHINGLE, 0.8):
+            raise ValueError("similarity is known for five-word shingles and 0.8")
+        return nearcopies.keep_one(docs, doc_id, text)
     found = materialize(near_duplicates(docs, doc_id, text, shingle), "groups")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_hash") == F.col("keeper.text_hash")))
     kept = kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(F.count(F.lit(1)).alias("rows"))
