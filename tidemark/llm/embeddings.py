@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import slim
 from tidemark.llm.graph import components
@@ -115,6 +116,8 @@ def compare(vectors: np.ndarray, home: np.ndarray, side: np.ndarray, block: int,
     parts = block_slices(width, blocks)
     limits = [budget(p, width, threshold) for p in parts]
     own = spun[:, parts[block]]
+    # Scaled by powers of two, which is exact and keeps squares finite.
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True, initial=0.0))[1])
     squares, norms = (own * own).sum(axis=1), np.sqrt((vectors * vectors).sum(axis=1))
     gained, root = np.zeros(len(vectors), np.int64), np.arange(len(vectors))
     for start in range(0, len(vectors), 256):
@@ -152,13 +155,14 @@ def near_duplicates(
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     source = slim(table, vec_id=vec_id, vector=vector, label=label)
+    kept = "float" if source.schema["vector"].dataType.elementType == T.FloatType() else "double"  # as narrow as the table's
     keys = [F.xxhash64("label", "vector").alias("k1"), F.xxhash64(F.lit(1), "vector", "label").alias("k2")]
     good = F.coalesce(F.expr(valid()), F.lit(False))
     rows = materialize(source.select("vec_id", F.when(good, keys[0]).alias("k1"), F.when(good, keys[1]).alias("k2")), "rows")
-    classes = source.where(good).groupBy("label", F.col("vector").cast("array<double>").alias("vector")).agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("members"), F.first(keys[0]).alias("k1"), F.first(keys[1]).alias("k2"))
+    classes = source.where(good).groupBy("label", F.col("vector").cast(f"array<{kept}>").alias("vector")).agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("members"), F.first(keys[0]).alias("k1"), F.first(keys[1]).alias("k2"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "classes")
     most = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    coordinates = max(1, min(4, round(math.log(max(most, 1) / limit) / math.log(3))))
+    coordinates = max(1, min(6, round(math.log(max(most, 1) / limit) / math.log(3))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
