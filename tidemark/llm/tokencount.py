@@ -3,7 +3,7 @@
 A token file is a run of little-endian token ids; a document ends with an end-of-document id. Files are read
 in blocks of fixed length by independent tasks, each of which finds the separators of its block in one
 vectorised comparison. A block knows where its documents end but not where its first one began, nor how many
-came before: a prefix scan over the blocks' separator counts and last separators gives both.
+came before: a prefix scan over the blocks' separator counts and last separators, two numbers a block, gives both.
 
 Edge cases: an empty file has no documents; documents without tokens count 0; tokens after the last separator
 are a document that is not ``closed``; separators at a block's first or last place and documents longer than
@@ -96,17 +96,17 @@ def separators(blocks: DataFrame, end_id: int, dtype: str) -> DataFrame:
 
 def count_tokens(files: DataFrame, end_id: int, dtype: str = "<u2", block_tokens: int = 4 << 20) -> DataFrame:
     """file, doc_index, start, n_tokens, closed of every document of the files named in column ``file``."""
-    found = separators(file_blocks(files.distinct(), dtype, block_tokens), end_id, dtype)
+    found = materialize(separators(file_blocks(files.distinct(), dtype, block_tokens), end_id, dtype), "separators")
+    # The scan sees a count and a place of each block; its separators stay where they are until they are joined.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select(
+    carried = found.select("file", "block", F.size("ends").alias("held"), F.try_element_at("ends", F.lit(-1)).alias("last_end")).select(
         "file",
-        "first",
-        "n",
-        "ends",
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("index"),
-        (F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before), F.lit(-1)) + 1).alias("begun"),
-        (F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block"))) == 1).alias("last"),
+        "block",
+        F.coalesce(F.sum("held").over(before), F.lit(0)).alias("index"),
+        (F.coalesce(F.max("last_end").over(before), F.lit(-1)) + 1).alias("begun"),
+        F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull().alias("last"),
     )
+    stitched = found.join(materialize(carried, "carried"), ["file", "block"]).select("file", "first", "n", "ends", "index", "begun", "last")
     # Places where documents begin, moved up by one against the places where they end.
     starts = F.concat(F.array("begun"), F.transform("ends", lambda e: e + 1))
     open_end = F.when(F.col("last") & (F.element_at(starts, -1) < F.col("first") + F.col("n")), F.array(F.col("first") + F.col("n"))).otherwise(F.array().cast("array<bigint>"))
