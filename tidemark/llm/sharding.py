@@ -26,13 +26,14 @@ from tidemark.llm.common import slim
 from tidemark.session import discard, materialize
 
 OVERHEAD = 16
-BUCKETS = 1024
+#: Rows of a bucket in which positions are counted, and groups of a bucket in which grants are dealt.
+BUCKET_ROWS, BUCKET_GROUPS = 20_000, 1_000_000
 GROUP = ["text_hash", "text_crc32"]
 
 
-def positions(rows: DataFrame, group: list[str], name: str) -> DataFrame:
+def positions(rows: DataFrame, group: list[str], name: str, buckets: int) -> DataFrame:
     """``rows`` with ``name``: a gapless number from 0 within each group, counted bucket by bucket."""
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(BUCKETS)))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)))
     key = [*group, "bucket"]
     totals = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("held"))
     over = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,8 +149,12 @@ def propagate(state: DataFrame, quota: list[int], rounds: int, groups_per_bucket
     return best
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 60, doc_id: str = "doc_id", text: str = "text", groups_per_bucket: int = 1_000_000) -> DataFrame:
-    """doc_id, size, text_crc32, text_hash, shard and slot (gapless from 0 in its shard) of every row."""
+def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 60, doc_id: str = "doc_id", text: str = "text", groups_per_bucket: int = BUCKET_GROUPS) -> DataFrame:
+    """doc_id, size, text_crc32, text_hash, shard and slot (gapless from 0 in its shard) of every row.
+
+    Propagation ends after ``rounds``, or sooner once rounds keep no more links. ``groups_per_bucket`` bounds the
+    groups whose requests one task puts in order; what one bucket does not use of a grant goes to the next.
+    """
     source = slim(docs, doc_id=doc_id, text=text)
     rows = source.select(
         "doc_id",
@@ -160,6 +165,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 60, doc_id:
     rows = materialize(rows, "rows")
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
+    buckets = max(1, total // BUCKET_ROWS)
 
     counted = rows.where("text_hash is not null").groupBy(*GROUP, F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     state = counted.withColumn("total", F.sum("n").over(Window.partitionBy(*GROUP))).where("total > 1").select(*GROUP, "shard", "n")
@@ -168,8 +174,13 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 60, doc_id:
     # A shard that its start has overfilled keeps its quota; the rest go with the documents without links.
     held = loads(state, shards)
     if any(n > q for n, q in zip(held, quota, strict=True)):
-        over = Window.partitionBy("shard").orderBy(F.desc("n"), *GROUP).rowsBetween(Window.unboundedPreceding, 0)
-        state = state.withColumn("n", F.greatest(F.least(F.col("n"), by_shard(quota) - (F.sum("n").over(over) - F.col("n"))), F.lit(0)).cast("bigint")).where("n > 0")
+        parts = max(1, state.count() // groups_per_bucket)
+        dealt = state.withColumn("part", F.pmod(F.xxhash64(*GROUP), F.lit(parts)))
+        ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        before = dealt.groupBy("shard", "part").agg(F.sum("n").alias("m")).select("shard", "part", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("before"))
+        over = Window.partitionBy("shard", "part").orderBy(F.desc("n"), *GROUP).rowsBetween(Window.unboundedPreceding, 0)
+        room = by_shard(quota) - F.col("before") - (F.sum("n").over(over) - F.col("n"))
+        state = dealt.join(before, ["shard", "part"]).withColumn("n", F.greatest(F.least(F.col("n"), room), F.lit(0)).cast("bigint")).where("n > 0").select(*GROUP, "shard", "n")
         held = [min(n, q) for n, q in zip(held, quota, strict=True)]
     ends = Window.partitionBy(*GROUP).orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     plan = state.withColumn("end", F.sum("n").over(ends)).groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("plan"))
@@ -177,7 +188,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 60, doc_id:
     members = rows.join(plan, (F.col("text_hash") == F.col("plan_text_hash")) & (F.col("text_crc32") == F.col("plan_text_crc32")), "left").drop("plan_text_hash", "plan_text_crc32")
     members = materialize(members, "members")
 
-    linked = positions(members.where("plan is not null"), GROUP, "position")
+    linked = positions(members.where("plan is not null"), GROUP, "position", buckets)
     linked = linked.withColumn("shard", F.get(F.filter("plan", lambda p: p["end"] > F.col("position")), F.lit(0))["shard"]).drop("plan", "position")
     linked = materialize(linked, "linked")
     free = members.where("plan is null").drop("plan").unionByName(linked.where("shard is null").drop("shard"))
@@ -186,6 +197,6 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 60, doc_id:
         filled += q - n
         room.append(filled)
     ends_of_room = F.array(*[F.lit(x).cast("bigint") for x in room])
-    free = positions(free, [], "position").withColumn("shard", F.size(F.filter(ends_of_room, lambda e: e <= F.col("position"))).cast("int")).drop("position")
+    free = positions(free, [], "position", buckets).withColumn("shard", F.size(F.filter(ends_of_room, lambda e: e <= F.col("position"))).cast("int")).drop("position")
     placed = materialize(linked.where("shard is not null").unionByName(free), "placed")
-    return positions(placed, ["shard"], "slot").select("doc_id", "size", "text_crc32", "text_hash", "shard", "slot")
+    return positions(placed, ["shard"], "slot", buckets).select("doc_id", "size", "text_crc32", "text_hash", "shard", "slot")
