@@ -132,6 +132,12 @@ def test_vectors_equal_brute_force(spark, limit):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
 
 
+def test_large_and_small_components(spark):
+    rows = [(0, [1e200, 2e200], 1), (1, [1e-200, 2e-200], 1), (2, [2e200, -1e200], 1), (3, [1e308, 1e308], 1), (4, [5e-324, 5e-324], 1)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert found == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (1, 3), 4: (1, 3)}
+
+
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 

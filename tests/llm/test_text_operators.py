@@ -113,6 +113,17 @@ def test_any_five_positions_hold_a_whole_block():
         assert any(b & mask == b for b in blocks)
 
 
+def test_the_count_cuts_pairs_before_they_are_verified(monkeypatch):
+    rng = random.Random(29)
+    centre = rng.getrandbits(64)
+    values = np.array([centre ^ rng.getrandbits(32) for _ in range(300)] + [centre ^ 1, centre ^ 6], np.uint64)  # a block shared, and little else
+    seen = []
+    monkeypatch.setattr(simhash, "close", lambda some, others: seen.append(len(some)) or np.bitwise_count(some ^ others) <= 3)
+    edges = simhash.forest(values)
+    pairs = sum(1 for i in range(len(values)) for j in range(i) if sum((int(values[i]) ^ int(values[j])) >> 8 * b & 255 == 0 for b in range(8)) >= 5)
+    assert (len(values) - 2, len(values) - 1) in edges and sum(seen) <= pairs < 0.1 * len(values) ** 2 / 2
+
+
 def test_keep_one_keeps_a_row_of_each_group(spark, rows):
     docs = frame(spark, rows)
     kept = simhash.keep_one(docs).collect()
@@ -161,7 +172,7 @@ def test_long_texts_are_cut_without_a_trace(vocabulary, monkeypatch):
 
 def test_packing_round_trip(spark, rows, vocabulary):
     encode = tokens.Encoder(**vocabulary).encode
-    found = packing.harmonic_pack(frame(spark, rows), vocabulary, capacity=64, workers=3).collect()
+    found = packing.harmonic_pack(frame(spark, rows), vocabulary, capacity=64).collect()
     for r in found:
         assert len(r["ids"]) == r["length"]
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
@@ -185,6 +196,27 @@ def test_packing_round_trip(spark, rows, vocabulary):
         assert at <= 64 and at & (at - 1) == 0
 
 
+def test_bins_hold_as_many_pieces_as_their_class_says():
+    rng = random.Random(19)
+    packer = packing.Packer(64, reserve=0)
+    lengths = [rng.choice([1, 3, 20, 21, 30, 32, 33, 40, 64, 65, 200]) for _ in range(500)]
+    for i, n in enumerate(lengths):
+        packer.add(i, np.full(n, i, np.uint32))
+    packer.finish()
+    whole, short = [s for s in packer.done if sum(len(p[2]) for p in s) == 64], [s for s in packer.done if sum(len(p[2]) for p in s) < 64]
+    assert len(whole) * 64 + sum(len(p[2]) for s in short for p in s) == sum(lengths)
+    assert len(short) <= 6 and all(sum(len(p[2]) for p in s).bit_count() == 1 for s in short)
+    pieces = Counter(p[0] for s in packer.done for p in s)
+    assert all(pieces[i] >= -(-n // 64) for i, n in enumerate(lengths))
+    roomy = packing.Packer(64, reserve=1 << 20)
+    for i in range(40):
+        roomy.add(i, np.full((33, 20)[i % 2], i, np.uint32))
+    assert len(roomy.waiting) == 20 + 6 and {len(x) for x, _ in roomy.waiting} == {1, 3} and not roomy.filler  # one above a half, three above a quarter
+    assert [len(x) for x in roomy.bins.values()] == [2]
+    roomy.finish()
+    assert sum(len(p[2]) for s in roomy.done for p in s) == 20 * 33 + 20 * 20 and len(roomy.done) == 16 + 2
+
+
 def test_packing_rejects_odd_capacity(spark, vocabulary):
     with pytest.raises(ValueError):
         packing.harmonic_pack(frame(spark, []), vocabulary, capacity=1000)
@@ -243,7 +275,7 @@ def contaminated_rows(docs, items):
     return out
 
 
-def test_contamination_equals_brute_force(spark):
+def test_contamination_equals_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     say = lambda n: " ".join(f"w{rng.randint(0, 30)}" for _ in range(n))
     items = [(1, say(40)), (2, say(13)), (3, say(12)), (4, "lone"), (5, say(3)), (6, None), (7, " .,!"), (8, say(60)), (None, say(14)), (11, "same same same same same same same same same same same same same same same")]
@@ -258,11 +290,25 @@ def test_contamination_equals_brute_force(spark):
     exact = contaminated_rows(docs, items_known + [(-1, t) for n, t in items if n is None])
     assert sorted([(a, b, c, f) for a, b, c, _, f in got], key=null_last) == sorted([(a, b, c, f) for a, b, c, _, _, f in exact], key=null_last)
     known = spark.createDataFrame(items_known, "item_id bigint, text string")
-    for limit in (200_000, 0):
-        rows = decontaminate.contamination(frame(spark, docs), known, broadcast_rows=limit).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256), "contaminated")
+    for limit, block in ((32 << 20, 4096), (0, 16)):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        rows = decontaminate.contamination(frame(spark, docs), known, broadcast_bytes=limit).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256), "contaminated")
         assert sorted([tuple(r) for r in rows.collect()], key=null_last) == sorted(contaminated_rows(docs, items_known), key=null_last)
 
 
+def test_repeated_words_cost_their_number(spark):
+    import time
+
+    items = spark.createDataFrame([(1, "same " * 20)], "item_id bigint, text string")
+    seconds = {}
+    for n in (20_000, 20_000, 200_000):
+        began = time.perf_counter()
+        row = decontaminate.contamination(frame(spark, [(1, "same " * n)]), items).first()
+        seconds[n] = time.perf_counter() - began
+        assert (row["n_words"], row["n_hit"], row["contaminated"]) == (n, n, True)
+    assert seconds[200_000] < 10 * seconds[20_000]
+
+
 def test_contamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [r["contaminated"] for r in decontaminate.contamination(frame(spark, [(1, "a b c")]), none).collect()] == [False]
