@@ -199,3 +199,11 @@ def test_pruned_capture_reads_what_is_dirty(spark):
     held = spark.createDataFrame([("a", 1), ("b", 2)], "object_name string, object_id int")
     now = spark.createDataFrame([("a", 1), ("b", 9), ("c", 3)], "object_name string, object_id int")
     assert registry.pruned_capture(now, held, lambda names: names) == ["b", "c"]
+
+
+def test_a_far_value_holds_up_no_stretch(spark):
+    rows = [(i, i) for i in range(2000)] + [(99_999_999, 2000)]
+    dealt = scans.stretched(spark.createDataFrame(rows, "o bigint, i bigint"), "o", 10)
+    held = [r["count"] for r in dealt.groupBy(scans.BUCKET).count().collect()]
+    assert len(held) == 10 and max(held) < 2 * len(rows) / 10
+    assert {r["n"] for r in scans.row_numbers(spark.createDataFrame(rows, "o bigint, i bigint"), "o", "n").collect()} == set(range(1, 2002))

@@ -9,24 +9,27 @@ from tidemark.session import discard, materialize
 
 
 def closure(edges: DataFrame, child: str, parent: str, most_depth: int = 1024, reflexive: bool = False) -> DataFrame:
-    """(child, parent) of all paths. Each round joins what is known with itself, so a chain takes rounds by the logarithm of its length.
+    """(child, parent) of all paths. Each round joins the paths that the last one found with all that are known, so no pair is derived
+    from old ones again, and a chain takes rounds by the logarithm of its length: a shortest path of up to twice the length known
+    begins with one of the last round.
 
     A cycle ends by itself; ``most_depth`` guards against chains without an end. Rounds are tables in the
     shared folder, of which only the last two are kept.
     """
     step = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child is not null and parent is not null").distinct()
-    known = first = materialize(step, "closure")
+    known = first = last = materialize(step, "closure")
     for _ in range(max(1, most_depth - 1).bit_length() + 1):
-        reached = known.alias("a").join(known.alias("b"), F.col("a.parent") == F.col("b.child")).select(F.col("a.child"), F.col("b.parent"))
+        reached = last.alias("a").join(known.alias("b"), F.col("a.parent") == F.col("b.child")).select(F.col("a.child"), F.col("b.parent"))
         fresh = materialize(reached.distinct().join(known, ["child", "parent"], "left_anti"), "paths")
         if fresh.isEmpty():
             discard(fresh)
             break
         after = materialize(known.unionByName(fresh), "closure")
-        discard(fresh)
+        if last is not first:
+            discard(last)
         if known is not first:
             discard(known)
-        known = after
+        known, last = after, fresh
     else:
         raise RuntimeError(f"paths are longer than {most_depth}")
     if reflexive:

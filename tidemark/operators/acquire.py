@@ -118,14 +118,19 @@ class CDCDriver:
         if self.op:
             rows = rows.where(F.col(self.op) != 3).withColumn("__op", F.when(F.col(self.op) == 1, "D").when(F.col(self.op) == 2, "I").otherwise("U"))
         tie = [self.seq] if self.seq else None
+        if self.seq:
+            rows = rows.withColumn("__place", F.col(self.seq).cast("bigint"))
         return running_max(rows.withColumn("__tt", F.col(self.lsn)), self.lsn, self.wall, "__label", tie).withColumn("__key", F.struct(*self.keys))
 
 
 def staple(changes: DataFrame, tt: str = "__tt", first: int = 1, version: str = "version") -> DataFrame:
     """Every change with the version of its commit: one for each distinct transaction time, in order, by one plan.
 
-    Distinct times are few against changes; they are numbered apart and joined back.
+    Distinct times are few against changes; they are numbered apart and joined back. A change without a time belongs
+    to no commit, and is an error. ``changes`` is read more than once: a poll of a source that grows must be
+    materialized before.
     """
+    changes = changes.withColumn(tt, F.when(F.col(tt).isNull(), F.raise_error(F.lit("a change has no transaction time"))).otherwise(F.col(tt)))
     times = changes.groupBy(tt).agg(F.count(F.lit(1)).alias("__n"))
     kind = times.schema[tt].dataType
     number = F.unix_micros(F.col(tt).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else F.unix_date(tt) if isinstance(kind, T.DateType) else F.col(tt).cast("bigint")

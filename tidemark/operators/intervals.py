@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import previous
+
 DELETE_OPS = ("D", "DELETE", "delete")
 #: The open end in the text form of an interval.
 OPEN_TEXT = "9999-12-31T00:00:00+00:00"
@@ -79,8 +81,7 @@ def version_at(snapshots: DataFrame, when: object, version: str = "snapshot_id",
     state: the call fails, unless ``strict`` is off.
     """
     if strict:
-        order = Window.orderBy(version)
-        bad = snapshots.withColumn("__before", F.lag(label).over(order)).where(F.col(label) < F.col("__before"))
+        bad = previous(snapshots.select(version, label), version, [label], "__was_").where(F.col(label) < F.col(f"__was_{label}"))
         if not bad.isEmpty():
             raise ValueError("snapshot labels do not ascend with versions; ask by version")
     return snapshots.where(F.col(label) <= when).agg(F.max(version)).first()[0]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.acquire import staple
 from tidemark.operators.essence import capture_essence
 from tidemark.operators.registry import fingerprint
+from tidemark.session import discard, materialize
 from tidemark.sources.lake import HistoryTable, Lake
 
 
@@ -66,9 +67,11 @@ class Replica:
         found = self.columns()
         mark, last = fingerprint(found), control.read(self.target)
         history = HistoryTable(self.lake, self.target, found, self.keys).create(now)
-        changes = self.poll(last and last["watermark"])
+        # Read once: what is stapled, written and counted is one poll, however the source grows meanwhile.
+        changes = materialize(self.poll(last and last["watermark"]), "poll")
         applied = history.apply(staple(changes, first=history.next_version()), now)
         upto = changes.agg(F.max("__tt").cast("string")).first()[0] if applied else None
+        discard(changes)
         watermark = upto if upto is not None else last and last["watermark"]
         captured = {name: capture_essence(self.lake, f"{self.target}_{name}", read(), now) for name, read in self.facets.items()}
         control.write(self.target, watermark, mark, now)

@@ -1,8 +1,9 @@
 """Prefix scans over one global order, without a window that puts all rows into one task.
 
-The order column is numeric (a version, an id, an epoch). Rows are dealt into ``buckets`` equal stretches of
-its range; each stretch is scanned on its own, and what the stretches before it add up to comes from a table
-of one row per stretch. An empty input gives an empty result; a null order value goes to the first stretch.
+The order column is numeric (a version, an id, an epoch). Rows are dealt into up to ``buckets`` stretches between
+quantiles of it, so a value far from the others holds up no task; each stretch is scanned on its own, and what the
+stretches before it add up to comes from a table of one row per stretch. Rows of one order value share a stretch.
+An empty input gives an empty result; a null order value goes to the first stretch.
 """
 
 from __future__ import annotations
@@ -15,11 +16,18 @@ BUCKET = "__stretch"
 
 def stretched(df: DataFrame, order: str, buckets: int) -> DataFrame:
     """``df`` with the stretch that each row's order value falls into."""
-    span = df.agg(F.min(order).cast("double").alias("low"), F.max(order).cast("double").alias("high")).first()
-    low, high = span["low"] or 0.0, span["high"] or 0.0
-    width = (high - low) / buckets or 1.0
-    place = F.floor((F.col(order).cast("double") - low) / width)
-    return df.withColumn(BUCKET, F.coalesce(F.least(F.greatest(place, F.lit(0)), F.lit(buckets - 1)), F.lit(0)).cast("int"))
+    shares = [i / buckets for i in range(1, buckets)]
+    value = F.col(order).cast("double")
+    bounds = sorted(set(df.select(value.alias("v")).approxQuantile("v", shares, 1 / (4 * buckets)))) if shares else []
+
+    def place(low: int, high: int) -> Column:
+        """The number of bounds below the value, by halving."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value > bounds[middle], place(middle + 1, high)).otherwise(place(low, middle))
+
+    return df.withColumn(BUCKET, F.when(value.isNull(), F.lit(0)).otherwise(place(0, len(bounds))).cast("int"))
 
 
 def _before(totals: DataFrame, value: Column) -> DataFrame:

@@ -299,13 +299,18 @@ class Lake:
             return frames
         return self.spark.read.schema(target).parquet(*paths)
 
-    def compact(self, table: str, schema: str = "main", when: dt.datetime | None = None, files: int = 1) -> int:
-        """The same rows in fewer files, as a new snapshot; older versions keep the old files."""
+    def compact(self, table: str, schema: str = "main", when: dt.datetime | None = None, files: int | None = None, target_bytes: int = 256 << 20) -> int:
+        """The same rows in files of about ``target_bytes``, in the table's partitions, as a new snapshot; older versions keep the old files."""
         rows, old = self.read(table, schema), self.list_files(table, schema).collect()
         state, target = self.advanced(), self.schema_of(table, schema)
         folder = f"{self.path}/{schema}/{table}/{state.snapshot_id:012d}-{uuid.uuid4().hex[:8]}"
         ids = {f.name: f.metadata["parquet.field.id"] for f in target.fields}
-        rows.select(*[F.col(n).alias(n, metadata={"parquet.field.id": i}) for n, i in ids.items()]).coalesce(files).write.parquet(folder)
+        keys, held = self.partitioning(table, schema), sum(r["file_size_bytes"] or 0 for r in old)
+        number = files or max(1, -(-held // target_bytes))
+        chosen = rows.select(*[F.col(n).alias(n, metadata={"parquet.field.id": i}) for n, i in ids.items()])
+        # Dealt evenly, or by partition values and a salt, so that one value's rows can fill several files.
+        dealt = chosen.repartition(number, *keys, F.pmod(F.xxhash64(*target.names), F.lit(number))) if keys else chosen.repartition(number)
+        (dealt.write.partitionBy(*keys) if keys else dealt.write).parquet(folder)
         self.append("data_file", [{**r.asDict(), ENDED: state.snapshot_id} for r in old])
         return self.register(table, folder, schema, when, None, state)
 
@@ -338,7 +343,8 @@ def now() -> dt.datetime:
 class HistoryTable:
     """A replica that keeps every version: after-images with version, label and operation, appended and never changed.
 
-    Current rows and states as of a version or an instant are derived; nothing is closed by an update.
+    Current rows and states as of a version or an instant are derived; nothing is closed by an update. ``__place`` is the
+    order of images within a commit: of several of one key, the last counts.
     """
 
     lake: Lake
@@ -347,7 +353,7 @@ class HistoryTable:
     keys: list[str]
     schema: str = "main"
 
-    META = (("__version", "int64"), ("__label", "timestamp"), ("__op", "varchar"))
+    META = (("__version", "int64"), ("__label", "timestamp"), ("__op", "varchar"), ("__place", "int64"))
 
     def create(self, when: dt.datetime | None = None) -> HistoryTable:
         try:
@@ -370,7 +376,8 @@ class HistoryTable:
         first = self.next_version()
         fresh = changes.where(F.col("version") >= first)
         label = F.col("__label") if "__label" in changes.columns else F.col("__tt")
-        rows = fresh.withColumn("__version", F.col("version")).withColumn("__label", label)
+        place = F.col("__place").cast("bigint") if "__place" in changes.columns else F.lit(0).cast("bigint")
+        rows = fresh.withColumn("__version", F.col("version")).withColumn("__label", label).withColumn("__place", place)
         count = fresh.agg(F.count_distinct(F.col("version"))).first()[0]
         if count:
             self.lake.write(self.table, rows, self.schema, when, provenance)
@@ -389,7 +396,7 @@ class HistoryTable:
             log = log.where(F.col("__version") <= version)
         if when is not None:
             log = log.where(F.col("__label") <= F.lit(when))
-        return latest(log, self.keys, ["__version"]).where("__op <> 'D'").drop(*[n for n, _ in self.META])
+        return latest(log, self.keys, ["__version", "__place"]).where("__op <> 'D'").drop(*[n for n, _ in self.META])
 
 
 @dataclass
