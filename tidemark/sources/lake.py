@@ -301,16 +301,19 @@ class Lake:
 
     def compact(self, table: str, schema: str = "main", when: dt.datetime | None = None, files: int | None = None, target_bytes: int = 256 << 20) -> int:
         """The same rows in files of about ``target_bytes``, in the table's partitions, as a new snapshot; older versions keep the old files."""
-        rows, old = self.read(table, schema), self.list_files(table, schema).collect()
+        held = self.list_files(table, schema).agg(F.sum("file_size_bytes")).first()[0] or 0
+        return self.replace(table, self.read(table, schema), schema, when, files or max(1, -(-held // target_bytes)))
+
+    def replace(self, table: str, rows: DataFrame, schema: str = "main", when: dt.datetime | None = None, files: int | None = None) -> int:
+        """``rows`` in place of all that the table holds, as one new snapshot; older versions keep the old files."""
+        old = self.list_files(table, schema).collect()
         state, target = self.advanced(), self.schema_of(table, schema)
         folder = f"{self.path}/{schema}/{table}/{state.snapshot_id:012d}-{uuid.uuid4().hex[:8]}"
-        ids = {f.name: f.metadata["parquet.field.id"] for f in target.fields}
-        keys, held = self.partitioning(table, schema), sum(r["file_size_bytes"] or 0 for r in old)
-        number = files or max(1, -(-held // target_bytes))
-        chosen = rows.select(*[F.col(n).alias(n, metadata={"parquet.field.id": i}) for n, i in ids.items()])
-        # Dealt evenly, or by partition values and a salt, so that one value's rows can fill several files.
-        dealt = chosen.repartition(number, *keys, F.pmod(F.xxhash64(*target.names), F.lit(number))) if keys else chosen.repartition(number)
-        (dealt.write.partitionBy(*keys) if keys else dealt.write).parquet(folder)
+        chosen = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name, metadata={"parquet.field.id": f.metadata["parquet.field.id"]}) for f in target.fields])
+        keys = self.partitioning(table, schema)
+        if files:  # dealt evenly, or by partition values and a salt, so that one value's rows can fill several files
+            chosen = chosen.repartition(files, *keys, F.pmod(F.xxhash64(*target.names), F.lit(files))) if keys else chosen.repartition(files)
+        (chosen.write.partitionBy(*keys) if keys else chosen.write).parquet(folder)
         self.append("data_file", [{**r.asDict(), ENDED: state.snapshot_id} for r in old])
         return self.register(table, folder, schema, when, None, state)
 
