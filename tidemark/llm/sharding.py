@@ -28,6 +28,8 @@ from tidemark.session import discard, materialize
 OVERHEAD = 16
 #: Rows of a bucket in which positions are counted, and groups of a bucket in which grants are dealt.
 BUCKET_ROWS, BUCKET_GROUPS = 20_000, 1_000_000
+#: Buckets of a small table: enough to keep all tasks busy.
+LEAST_BUCKETS = 64
 GROUP = ["text_hash", "text_crc32"]
 
 
@@ -165,7 +167,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 60, doc_id:
     rows = materialize(rows, "rows")
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    buckets = max(1, total // BUCKET_ROWS)
+    buckets = max(LEAST_BUCKETS, total // BUCKET_ROWS)
 
     counted = rows.where("text_hash is not null").groupBy(*GROUP, F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     state = counted.withColumn("total", F.sum("n").over(Window.partitionBy(*GROUP))).where("total > 1").select(*GROUP, "shard", "n")
