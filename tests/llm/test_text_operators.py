@@ -593,3 +593,14 @@ def test_a_cut_class_keeps_its_prior(spark):
 
 def test_json_of_rules_is_plain():
     assert json.dumps(tokens.public_vocabulary())
+
+
+def test_toxicity_finds_the_last_words_from_the_end():
+    def by_whole_scan(text):
+        starts = [m.start() for m in toxicity.WORD.finditer(text)][-toxicity.WINDOW :]
+        return text[starts[0] :] if starts else ""
+
+    parts = ["a", "b" * 700, "c" * 1500, " ", "_", "\n", " é", "字", "?!"]
+    draw = random.Random(3)
+    for text in ["", " ", "x" * 9000, "x" * 5000 + " " + "y" * 3000, "a b" + "." * 5000, *("".join(draw.choice(parts) for _ in range(draw.randint(0, 60))) for _ in range(300))]:
+        assert toxicity.last_words(text) == by_whole_scan(text)

@@ -204,7 +204,7 @@ class Matcher:
         matches, before = 0, ""
         for part, after in stretches(text or ""):
             matches += self.matches(before, part, after, best)
-            before = last_words(part)
+            before = last_words(part) if after else ""
         exact, fuzzy = (sum(w for (_, f), w in best.items() if f is kind) for kind in (False, True))
         return min(exact, MOST_EVIDENCE), min(fuzzy, MOST_EVIDENCE), math.log1p(matches)
 
@@ -243,9 +243,15 @@ def stretches(text: str) -> Iterator[tuple[str, str]]:
 
 
 def last_words(text: str) -> str:
-    """The end of ``text`` from its last ``WINDOW`` words on."""
-    starts = deque((m.start() for m in WORD.finditer(text)), WINDOW)
-    return text[starts[0] :] if starts else ""
+    """The end of ``text`` from its last ``WINDOW`` words on, sought in ever longer ends: one word more shows that none is cut."""
+    length = 1 << 10
+    while True:
+        start = max(0, len(text) - length)
+        starts = deque((m.start() for m in WORD.finditer(text, start)), WINDOW + 1)
+        if start and len(starts) <= WINDOW:
+            length *= 4
+            continue
+        return text[starts[-min(len(starts), WINDOW)] :] if starts else ""
 
 
 @dataclass
