@@ -34,8 +34,12 @@ GROUP = ["text_hash", "text_crc32"]
 
 
 def positions(rows: DataFrame, group: list[str], name: str, buckets: int) -> DataFrame:
-    """``rows`` with ``name``: a gapless number from 0 within each group, counted bucket by bucket."""
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(1), "doc_id", "text_hash"), F.lit(buckets)))  # another hash than that of first shards
+    """``rows`` with ``name``: a gapless number from 0 within each group, counted bucket by bucket.
+
+    Buckets are hashed with ``name``: shards are given out by position, so with one hash for positions and slots
+    a shard would hold few buckets, and each of them whole.
+    """
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(name), "doc_id", "text_hash"), F.lit(buckets)))
     key = [*group, "bucket"]
     totals = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("held"))
     over = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
