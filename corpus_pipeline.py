@@ -33,7 +33,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): that of the smallest id."""
+    """One document of each group of near-duplicates: that of the smallest id.
+
+    By SimHash with an index of byte positions and count filtering; five-word shingles, verified similarity of 0.8.
+    """
     return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 

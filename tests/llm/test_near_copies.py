@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import nearcopies
@@ -77,3 +79,87 @@ def test_repeated_rows_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 0)] * 3 + [(None, "x y z", "en", "s", 0)], DOCS)
     assert sorted(str(r["doc_id"]) for r in nearcopies.keep_one(docs).collect()) == ["1", "None"]
     assert nearcopies.keep_one(docs.limit(0)).count() == 0
+
+
+def prints_of(texts):
+    sets = [nearcopies.shingle_set(t) for t in texts]
+    return sets, np.array([nearcopies.fingerprint(s)[: 2 * nearcopies.KEYS] for s in sets])
+
+
+def test_the_stage_indexes_fingerprints(spark, rows):
+    """Fingerprints are majorities over distinct shingles; what is similar shares a key of the index and enough bytes."""
+    texts = [t for _, t in rows]
+    sets, prints = prints_of(texts)
+    words = [[int(x) for x in ((h ^ nearcopies.MASKS[:1]) * nearcopies.FACTORS[:1])] for h in sets[5]]
+    words = [((x ^ (x >> 32)) * 0x9E3779B97F4A7C15) % 2**64 for [x] in words]
+    words = [x ^ (x >> 29) for x in words]
+    majority = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in words) > len(words))
+    assert int(prints[5][:8].view(np.uint64)[0]) == majority
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).selectExpr("doc_id", "xxhash64(text) AS text_hash", "text")
+    each = nearcopies.signatures(docs)
+    names = [r["text_hash"] for r in sorted(docs.collect(), key=lambda r: r["doc_id"])]
+    met = {}
+    for r in nearcopies.postings(each).collect():
+        met.setdefault(r["text_hash"], set()).add((r["key"], r["root"]))
+    assert [r["doc_id"] for r in docs.orderBy("doc_id").collect()] == [i for i, _ in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if similar(shingles(texts[i]), shingles(texts[j])) and names[i] != names[j]]
+    assert len(pairs) > 100 and all(met[names[i]] & met[names[j]] for i, j in pairs)
+    assert all((prints[i] == prints[j]).sum() >= nearcopies.SHARED[len(sets[i]) <= 6] for i, j in pairs)
+    strangers = (prints[:80, None] == prints[None, :80]).sum(axis=2)[np.triu_indices(80, 1)]
+    assert strangers.max() < nearcopies.SHARED[1]
+
+
+def test_the_count_cuts_pairs_before_sets_are_compared():
+    words = " ".join(f"w{i}" for i in range(50))
+    sets, prints = prints_of([words, words + " more"])
+    assert nearcopies.forest(sets, prints) == [(0, 1)]
+    assert nearcopies.forest(sets, np.array([prints[0], ~prints[0]])) == []
+
+
+def test_short_texts_share_keys_and_links(spark):
+    """Texts of four and five shingles, of similarity 0.8."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(n)) for k in range(300) for n in (8, 9)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in nearcopies.keep_one(docs).collect()) == list(range(0, 600, 2))
+
+
+@pytest.mark.parametrize("short", [256, 3])
+def test_near_roots_equal_brute_force(short):
+    rng = np.random.default_rng(4)
+    bases = rng.integers(0, 1 << 64, (40, 2), np.uint64)
+    bits = bases[rng.integers(0, 40, 400)]
+    for _ in range(15):  # up to 15 of 128 bits of each entry turned over
+        bits[np.arange(400), rng.integers(0, 2, 400)] ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    key, size = np.sort(rng.integers(0, 12, 400)).astype(np.int32), rng.integers(8, 14, 400).astype(np.int32)
+    root = list(range(400))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    alone = set(range(400))
+    for i in range(400):
+        for j in range(i):
+            if key[i] == key[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and np.bitwise_count(bits[i] ^ bits[j]).sum() <= nearcopies.CARRIED:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+                alone -= {i, j}
+    found = nearcopies.near_roots(key, size, *(np.ascontiguousarray(x).view(np.int64) for x in bits.T), short)
+    assert found.tolist() == [-1 if i in alone else find(i) for i in range(400)]
+    assert 0 < len(alone) < 400
+
+
+def test_lists_are_carried_over_and_long_ones_pass_whole(monkeypatch):
+    monkeypatch.setattr(nearcopies, "LONG", 30)
+    rng = np.random.default_rng(5)
+    key = np.repeat(np.arange(9, dtype=np.int32), [3, 20, 80, 2, 1, 31, 45, 10, 25])
+    bits = rng.integers(-(1 << 63), 1 << 63, (2, len(key)))
+    bits[:, key == 1] = 7
+    table = pa.table({"key": key, "text_hash": np.arange(len(key)), "size": np.full(len(key), 9, np.int32), "a": bits[0], "b": bits[1]})
+    for size in (1, 7, 64, 1000):
+        found = pa.Table.from_batches(nearcopies.near_entries(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+        assert {r["key"] for r in found} >= ({1, 2, 6} if size < 10 else {1})  # lists that end in a batch are tested whatever their length
+        for k in {r["key"] for r in found}:
+            assert [r["text_hash"] for r in found if r["key"] == k] == np.flatnonzero(key == k).tolist()
+            assert {r["root"] for r in found if r["key"] == k} == {int(np.flatnonzero(key == k)[0])}

@@ -212,9 +212,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest id.
 
-    Texts are linked within ``DISTANCE`` bits or, where a ``similarity`` of shingle sets is asked for, by that. A
-    similarity of 0.8 is out of reach for the index: such a pair differs in 10 of 64 bits on average, which leaves no
-    positional byte that it must share. Its candidates come from keys of minima instead (``nearcopies``).
+    Texts are linked within ``DISTANCE`` bits or, where a ``similarity`` of shingle sets is asked for, by that. A pair of
+    similarity 0.8 differs in 10 of 64 bits on average, which leaves no positional byte that it must share; its candidates
+    come from the byte positions of a wider fingerprint (``nearcopies``).
     """
     if similarity is not None:
         from tidemark.llm import nearcopies
