@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embeddings, html, langid, packing, sharding, simhash, tokencount, tokens, toxicity, urlfilter
+from tidemark.llm import decontaminate, embeddings, html, langid, packing, phrases, sharding, simhash, tokencount, tokens, toxicity, urlfilter
 from tidemark.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,36 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 4) == 2
     profiles = langid.learn_profiles(langid.learnable(docs, held_out))
     return langid.identify_language(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_radix_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=10, most=2000, covered=50)
+
+
+ORACLES["op13_radix_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM w CROSS JOIN (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k)) GROUP BY lang, k, phrase
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 10
+), cuts AS (
+  SELECT lang, k, phrase, a, w, cut, array_to_string(w[1 : cut], ' ') AS front, array_to_string(w[cut + 1 : k], ' ') AS back FROM c CROSS JOIN (VALUES (1), (2)) AS cuts(cut) WHERE cut < k
+), scored AS (
+  SELECT x.lang, x.k, x.phrase, x.a, x.w, x.cut, p.f AS l, q.f AS r, CAST((1000000::HUGEINT * x.a * x.a) // (p.f::HUGEINT * q.f) AS BIGINT) AS score
+  FROM cuts x JOIN f p ON p.lang = x.lang AND p.phrase = x.front JOIN f q ON q.lang = x.lang AND q.phrase = x.back
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM scored
+), longer AS (
+  SELECT lang, part, max(a) AS a FROM (SELECT lang, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS part, a FROM c WHERE k = 3) GROUP BY lang, part
+), ranked AS (
+  SELECT x.*, row_number() OVER (PARTITION BY x.lang ORDER BY x.score DESC, x.a DESC, x.phrase) AS rank
+  FROM lowest x LEFT JOIN longer y ON y.lang = x.lang AND y.part = x.phrase WHERE x.nth = 1 AND (y.a IS NULL OR 100 * y.a < 50 * x.a)
+)
+SELECT x.lang, x.rank, x.phrase, x.a, x.l, x.r, n.n, x.score FROM ranked x JOIN n ON n.lang = x.lang WHERE x.rank <= 2000
+"""
