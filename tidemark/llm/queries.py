@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embeddings, html, langid, packing, phrases, sharding, simhash, tokencount, tokens, toxicity, urlfilter
+from tidemark.llm import dac, decontaminate, embeddings, html, langid, packing, phrases, sharding, simhash, tokencount, tokens, toxicity, urlfilter
 from tidemark.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +176,8 @@ WITH pieces AS (
 )
 SELECT x.lang, x.rank, x.phrase, x.a, x.l, x.r, n.n, x.score FROM ranked x JOIN n ON n.lang = x.lang WHERE x.rank <= 2000
 """
+
+
+@query
+def op12_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
