@@ -252,7 +252,8 @@ def read_documents(files: DataFrame, id_type: str = "bigint", stretch: int = 4 <
                             i = end
                         yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(starts + row["before"]), pa.array(lengths), pa.array(sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition("file").mapInArrow(read, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # A file to a task: the number is given, as adaptive execution would join tasks by the little that their rows hold.
+    return placed.repartition(max(1, placed.count()), "file").mapInArrow(read, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_round_trip(docs: DataFrame, vocabulary: str, end_id: int, file_ids: int = 8 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 Components are scaled and floored, so that inner products are whole numbers. Rows are cut into chunks of one label
 that lie together: ranges of (length, label, signs of a rotation), with a row number last, so that a label or a
-vector that many rows share fills many tasks. Anchors, the rows asked about, are cut in the same way into blocks.
+vector that many rows share fills many tasks. Anchors, the rows asked about, are dealt into blocks of like signs.
 A block and the chunks of a range meet in a task, which holds the block and one chunk at a time. Each chunk gets a
 ball tree, and for every node a centre and a radius bound the inner products with an anchor from above and below:
 nodes whose bounds lie outside an anchor's score window, or strictly beneath its current k-th score, are pruned for
@@ -67,8 +67,12 @@ class BallTree:
                 # Split between the row farthest from the centre and the row farthest from that one.
                 one = own[((own - centre) ** 2).sum(axis=1).argmax()]
                 other = own[((own - one) ** 2).sum(axis=1).argmax()]
-                middle = (end - start) // 2
-                self.order[start:end] = self.order[start:end][np.argpartition(own @ (one - other), middle)]
+                # Each row goes to the nearer one, or, where that leaves a side too little, to one half.
+                along = own @ (one - other)
+                middle = int((along < (one @ one - other @ other) / 2).sum())
+                if min(middle, end - start - middle) < LEAF // 16:
+                    middle = (end - start) // 2
+                self.order[start:end] = self.order[start:end][np.argpartition(along, middle)]
                 waiting += [(2 * node + 1, start, start + middle), (2 * node + 2, start + middle, end)]
 
 
@@ -87,7 +91,8 @@ class Search:
         # Room for the rounding of centres and products.
         spread = radius * self.norms[active] + 1e-9 * (np.abs(middle) + (radius + np.sqrt((centre * centre).sum())) * self.norms[active]) + 1e-6
         least = np.maximum(self.low[active], self.score[active][:, :, -1])
-        return ((middle + spread)[:, None] >= least).__and__((middle - spread)[:, None] <= self.high[active]).any(axis=1)
+        # Bounds that overflow prune nothing.
+        return (~((middle + spread)[:, None] < least) & ~((middle - spread)[:, None] > self.high[active])).any(axis=1)
 
     def leaf(self, active: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rids: np.ndarray) -> None:
         scores = inner(vectors, self.vectors[active]).T  # anchors by rows
@@ -153,15 +158,30 @@ def in_pieces(rows: DataFrame, most: int) -> DataFrame:
     return materialize(dealt.mapInArrow(cut, f"{schema}, piece bigint, part int"), "pieces")
 
 
-def balls(rows: DataFrame, low: Column, high: Column) -> DataFrame:
-    """dim, label, part, piece with centre, radius and the outer ends of its windows: one row for each piece."""
-    placed = rows.select("dim", "label", "part", "piece", "vector", low.alias("low"), high.alias("high"))
+def in_blocks(anchors: DataFrame, by: list[str], size: int) -> DataFrame:
+    """``anchors`` with ``block``: about ``size`` of one ``by`` and of neighbouring codes.
+
+    An anchor's place is that of its code, by the counts of codes, and a hash within it: no sort, and a code that many share
+    is dealt evenly.
+    """
+    codes = anchors.groupBy(*by, "code").agg(F.count(F.lit(1)).alias("n"))  # at most 65,536 for each ``by``
+    earlier = Window.partitionBy(*by).orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
+    codes = materialize(codes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "codes")
+    share = F.pmod("salt", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    number = F.floor((F.col("before") + F.floor(F.col("n") * share)) / F.lit(size))
+    return materialize(anchors.join(codes, [*by, "code"]).withColumn("block", F.concat_ws("/", "dim", number, *by[1:])).drop("n", "before"), "blocks")
+
+
+def balls(rows: DataFrame, piece: str, low: Column, high: Column) -> DataFrame:
+    """dim, label, part, piece with centre, radius and the outer ends of its windows: a row for each piece and label, or a few."""
+    placed = rows.select("dim", "label", "part", F.col(piece).alias("piece"), "vector", low.alias("low"), high.alias("high"))
+    names = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Pieces follow one another; of one that is spread over batches, each batch gives a ball.
         for batch in batches:
-            pieces = batch.column("piece").to_numpy()
-            cuts = np.append(np.flatnonzero(np.append(True, pieces[1:] != pieces[:-1])), len(pieces))
+            pieces = list(zip(batch.column("piece").to_pylist(), batch.column("label").to_pylist(), strict=True))
+            cuts = [i for i in range(len(pieces) + 1) if i in (0, len(pieces)) or pieces[i] != pieces[i - 1]]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 own, first = batch.slice(s, e - s), batch.slice(s, 1)
                 vectors = matrix(own.column("vector"))
@@ -170,8 +190,7 @@ def balls(rows: DataFrame, low: Column, high: Column) -> DataFrame:
                 ends = [min(own.column("low").to_pylist()), max(own.column("high").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(first.column(c) for c in ("dim", "label", "part", "piece")), pa.array([centre], pa.list_(pa.float64())), pa.array([radius]), pa.array(ends[:1], pa.int64()), pa.array(ends[1:], pa.int64())], ["dim", "label", "part", "piece", "centre", "radius", "low", "high"])
 
-    label = rows.schema["label"].dataType.simpleString()
-    return materialize(placed.mapInArrow(measure, f"dim int, label {label}, part int, piece bigint, centre array<double>, radius double, low bigint, high bigint"), "balls")
+    return materialize(placed.mapInArrow(measure, f"dim int, label {names['label']}, part int, piece {names['piece']}, centre array<double>, radius double, low bigint, high bigint"), "balls")
 
 
 def meeting(blocks: DataFrame, chunks: DataFrame, same: bool) -> DataFrame:
@@ -183,20 +202,22 @@ def meeting(blocks: DataFrame, chunks: DataFrame, same: bool) -> DataFrame:
     middle = dot(F.col("b.centre"), F.col("c.centre"))
     spread = F.col("b.radius") * length("c") + F.col("c.radius") * length("b") + F.col("b.radius") * F.col("c.radius")
     spread = spread * (1 + 1e-9) + F.abs(middle) * 1e-9 + 1.0
-    met = b.join(c, on).where((middle + spread >= F.col("b.low")) & (middle - spread <= F.col("b.high")))
+    known = ~F.isnan(middle) & ~F.isnan(spread) & (spread < float("inf"))
+    met = b.join(c, on).where(~known | ((middle + spread >= F.col("b.low")) & (middle - spread <= F.col("b.high"))))
     return met.select(F.col("b.piece").alias("block"), F.col("c.piece").alias("piece"), F.col("c.part").alias("part")).distinct()
 
 
 def search(anchors: DataFrame, rows: DataFrame, chunks: DataFrame, k: int, same: bool) -> DataFrame:
     """anchor (its rid), slot, score, id, rid of the best ``k`` rows of each slot, up to ``k`` from each task.
 
-    ``anchors`` has rid, dim, label, vector, piece, part, lows, highs (the windows of its slots).
+    ``anchors`` has rid, dim, label, vector, block, lows, highs (the windows of its slots).
     """
-    blocks = balls(anchors, F.array_min("lows"), F.array_max("highs"))
+    gathered = anchors.withColumn("part", F.lit(0)).repartition("block").sortWithinPartitions("block", "label")
+    blocks = balls(gathered, "block", F.array_min("lows"), F.array_max("highs"))
     pairs = materialize(meeting(blocks, chunks, same), "pairs")
     none = F.array().cast("array<bigint>")
     columns = ["block", "part", "kind", "piece", "label", "rid", "id", "vector", "lows", "highs"]
-    asked = anchors.withColumnRenamed("piece", "block").drop("part").join(pairs.select("block", "part").distinct(), "block").withColumn("kind", F.lit(0)).withColumn("piece", F.lit(-1).cast("bigint"))
+    asked = anchors.join(pairs.select("block", "part").distinct(), "block").withColumn("kind", F.lit(0)).withColumn("piece", F.lit(-1).cast("bigint"))
     seen = rows.join(pairs.select("block", "piece"), "piece").withColumn("kind", F.lit(1)).withColumn("lows", none).withColumn("highs", none)
     group = ["block", "part"]
     dealt = asked.select(*columns).unionByName(seen.select(*columns)).repartition(*group).sortWithinPartitions(*group, "kind", "piece")
@@ -295,10 +316,11 @@ def mine_hard_negatives(
     widest = rows.agg(F.coalesce(F.max("dim"), F.lit(1))).first()[0] or 1
     size = max(LEAF, chunk_bytes // (8 * widest))
     chunked = in_pieces(rows, size)
-    chunks = balls(chunked, F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-    anchors = in_pieces(rows.where(F.col("named") & is_anchor), max(LEAF, size // 4)).select("rid", "id", "dim", "label", "vector", "piece", "part")
+    chunks = balls(chunked, "piece", F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    anchors, most_asked = rows.where(F.col("named") & is_anchor), max(LEAF, size // 4)
     everything = lambda value: F.array(F.lit(int(value)).cast("bigint"))
-    first = search(anchors.withColumn("lows", everything(NO_SCORE + 1)).withColumn("highs", everything(NO_ID)), chunked, chunks, positives, True)
+    open_ = anchors.withColumn("lows", everything(NO_SCORE + 1)).withColumn("highs", everything(NO_ID))
+    first = search(in_blocks(open_, ["dim", "label"], most_asked), chunked, chunks, positives, True)
     near = materialize(best(first, positives).select("anchor", "place", "score", F.col("id").alias("positive_id")), "positives")
     # A window with no room above its low end takes nothing; slots of an anchor are its positives in order.
     window = near.where("score >= 0").groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("place", "score"))).alias("slots"))
@@ -306,7 +328,7 @@ def mine_hard_negatives(
     high = F.transform("slots", lambda s: F.floor(s["score"].cast("decimal(38,0)") * most / 100).cast("bigint"))
     pad = lambda column, value: F.concat(column, F.array_repeat(F.lit(int(value)).cast("bigint"), F.lit(positives) - F.size(column)))
     asked = anchors.join(window.withColumnRenamed("anchor", "rid"), "rid").withColumn("lows", pad(low, NO_ID)).withColumn("highs", pad(high, NO_SCORE)).drop("slots")
-    second = search(materialize(asked, "asked"), chunked, chunks, negatives, False)
+    second = search(in_blocks(materialize(asked, "asked"), ["dim"], most_asked), chunked, chunks, negatives, False)
     far = best(second, negatives).select("anchor", (F.col("slot") + 1).alias("at"), F.col("place").alias("rank"), F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     named = rows.select(F.col("rid").alias("anchor"), F.col("id").alias("anchor_id"))
     result = far.join(near, (far["anchor"] == near["anchor"]) & (far["at"] == near["place"])).drop(near["anchor"]).join(named, "anchor")
