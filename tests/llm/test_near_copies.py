@@ -126,11 +126,11 @@ def test_short_texts_share_keys_and_links(spark):
 @pytest.mark.parametrize("short", [256, 3])
 def test_near_roots_equal_brute_force(short):
     rng = np.random.default_rng(4)
-    bases = rng.integers(0, 1 << 64, (40, 2), np.uint64)
+    bases = rng.integers(0, 1 << 64, (40, 3), np.uint64)
     bits = bases[rng.integers(0, 40, 400)]
-    for _ in range(15):  # up to 15 of 128 bits of each entry turned over
-        bits[np.arange(400), rng.integers(0, 2, 400)] ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
-    key, size = np.sort(rng.integers(0, 12, 400)).astype(np.int32), rng.integers(8, 14, 400).astype(np.int32)
+    for _ in range(27):  # up to 27 of 192 bits of each entry turned over
+        bits[np.arange(400), rng.integers(0, 3, 400)] ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    key, size = np.sort(rng.integers(0, 12, 400)).astype(np.int32), rng.integers(4, 10, 400).astype(np.int32)
     root = list(range(400))
 
     def find(x):
@@ -141,11 +141,11 @@ def test_near_roots_equal_brute_force(short):
     alone = set(range(400))
     for i in range(400):
         for j in range(i):
-            if key[i] == key[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and np.bitwise_count(bits[i] ^ bits[j]).sum() <= nearcopies.CARRIED:
+            if key[i] == key[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and np.bitwise_count(bits[i] ^ bits[j]).sum() <= nearcopies.CARRIED[bool(min(size[i], size[j]) <= nearcopies.SMALL)]:
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
                 alone -= {i, j}
-    found = nearcopies.near_roots(key, size, *(np.ascontiguousarray(x).view(np.int64) for x in bits.T), short)
+    found = nearcopies.near_roots(key, size, [np.ascontiguousarray(x).view(np.int64) for x in bits.T], short)
     assert found.tolist() == [-1 if i in alone else find(i) for i in range(400)]
     assert 0 < len(alone) < 400
 
@@ -154,12 +154,34 @@ def test_lists_are_carried_over_and_long_ones_pass_whole(monkeypatch):
     monkeypatch.setattr(nearcopies, "LONG", 30)
     rng = np.random.default_rng(5)
     key = np.repeat(np.arange(9, dtype=np.int32), [3, 20, 80, 2, 1, 31, 45, 10, 25])
-    bits = rng.integers(-(1 << 63), 1 << 63, (2, len(key)))
+    bits = rng.integers(-(1 << 63), 1 << 63, (3, len(key)))
     bits[:, key == 1] = 7
-    table = pa.table({"key": key, "text_hash": np.arange(len(key)), "size": np.full(len(key), 9, np.int32), "a": bits[0], "b": bits[1]})
+    table = pa.table({"key": key, "text_hash": np.arange(len(key)), "size": np.full(len(key), 9, np.int32), "a": bits[0], "b": bits[1], "c": bits[2]})
     for size in (1, 7, 64, 1000):
         found = pa.Table.from_batches(nearcopies.near_entries(iter(table.to_batches(max_chunksize=size)))).to_pylist()
         assert {r["key"] for r in found} >= ({1, 2, 6} if size < 10 else {1})  # lists that end in a batch are tested whatever their length
         for k in {r["key"] for r in found}:
             assert [r["text_hash"] for r in found if r["key"] == k] == np.flatnonzero(key == k).tolist()
             assert {r["root"] for r in found if r["key"] == k} == {int(np.flatnonzero(key == k)[0])}
+
+
+def test_unrelated_texts_rarely_stay_in_a_list():
+    """Random fingerprints of one size: keys and carried bits are drawn apart, so chance pairs don't come with the key."""
+    rng = np.random.default_rng(6)
+    key = np.sort(rng.integers(0, 1 << 16, 1_000_000)).astype(np.int32)  # one of the 160 positions
+    carried = list(rng.integers(-(1 << 63), 1 << 63, (3, len(key))))
+    assert (nearcopies.near_roots(key, np.full(len(key), 50), carried) >= 0).sum() <= 4
+    shingles = nearcopies.shingle_set(" ".join(f"w{i}" for i in range(200)))
+    assert not set(nearcopies.carried_bits(shingles).tolist()) & set(nearcopies.fingerprint(shingles).view(np.int64).tolist())
+
+
+def test_names_of_helpers_may_clash(spark):
+    from tidemark.llm import simhash
+
+    extra = ["kept_id", "kept_hash", "rows", "text_hash", "keeper", "first", "fp", "node", "component", "keys", "none"]
+    texts = ["a b c d e f g h", "a b c d e f g h", "i j k l m n o p", None]
+    docs = spark.createDataFrame([(i, t, *[i] * len(extra)) for i, t in enumerate(texts)] + [(0, texts[0], *[0] * len(extra))], ", ".join(["doc_id int", "text string", *(f"{c} int" for c in extra)]))
+    for similarity in (None, 0.8):
+        kept = simhash.keep_one(docs, shingle=5, similarity=similarity)
+        assert kept.columns == docs.columns
+        assert sorted(r["kept_id"] for r in kept.collect()) == [0, 2, 3]

@@ -186,4 +186,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     """``docs`` without the contaminated ones."""
     bad = contamination(docs, items, doc_id=doc_id, text=text, **options).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
     bad = materialize(bad, "contaminated")
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("bad_id")) & (F.xxhash64(text) == F.col("bad_hash")), "left_anti")
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs[text]) == bad["bad_hash"]), "left_anti")

@@ -208,7 +208,8 @@ def in_known_language(docs: DataFrame, profiles: Profiles, least_score: float =
     if isinstance(profiles, DataFrame):
         texts = docs.select(F.xxhash64(text).alias("doc_id"), F.col(text).alias("text")).distinct()
         near = joined_languages(texts, profiles, size).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-        return docs.join(near.select(F.col("text_hash").alias("near_hash")), F.xxhash64(text) == F.col("near_hash"), "left_semi")
+        near = near.select(F.col("text_hash").alias("near_hash"))
+        return docs.join(near, F.xxhash64(docs[text]) == near["near_hash"], "left_semi")
 
     def test() -> Callable[[str | None], bool]:
         model = RankOrder(profiles, size)

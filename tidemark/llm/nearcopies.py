@@ -7,8 +7,10 @@ Two texts are linked if their sets of five-word shingles have a similarity of 0.
 * Index: a text is posted under each two neighbouring bytes, with their position: 160 keys of 16 bits. A pair of
   similarity 0.8 shares a key with probability 0.072 and misses all with 6e-6; a closer pair more rarely still.
   Ties make texts of at most 5 shingles differ in up to 19 % of the bits, so they have 480 keys.
-* Postings carry 128 of the bits and the number of shingles; who is near no other member of a list (within 40 bits, which
-  a pair of similarity 0.8 exceeds with probability 1e-6, one of 4 and 5 shingles with 2e-4) leaves the list.
+* Postings carry the number of shingles and 192 bits of the fingerprint that no key uses, so that a shared key says nothing
+  about them. Who is near no other member of a list leaves it: near is within 54 bits, which a pair of similarity 0.8
+  exceeds with probability 1e-6 and two unrelated texts reach with 6e-10; for texts of at most 5 shingles within 62 (one of
+  4 and 5 exceeds that with 2e-6). Chance pairs of n texts of one length are then some 1.4e-12 n an entry's text.
 * Count filter: pairs of what remains that share fewer than 44 of 320 positional bytes are cut (86 are expected at 0.8).
 * Verification: pairs that differ in more than 500 bits are cut (388 are expected at 0.8), of the others the whole
   shingle sets are compared; a spanning forest of the links is emitted, never all pairs.
@@ -41,9 +43,11 @@ from tidemark.session import discard, materialize
 SHINGLE, SEED = 5, 42
 #: Keys of two positional bytes each, shingles up to which a text has more of them, and how many times as many.
 KEYS, SMALL, MORE = 160, 5, 3
-#: Cuts: differing bits of the 128 that a posting carries; shared positional bytes and differing bits of all, for texts
-#: above ``SMALL`` and others.
-CARRIED, SHARED, DIFFERING = 40, (44, 20), (500, 620)
+#: Numbers of 64 bits that a posting carries.
+WORDS = 3
+#: Cuts, for texts above ``SMALL`` and others: differing bits of those that a posting carries; shared positional bytes and
+#: differing bits of all.
+CARRIED, SHARED, DIFFERING = (54, 62), (44, 20), (500, 620)
 PIVOTS = 32
 #: Positions whose lists are compared first.
 FIRST = 32
@@ -51,6 +55,7 @@ FIRST = 32
 LONG = 1 << 16
 #: A mask and a multiplier for each 64 bits of a fingerprint.
 MASKS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, MORE * KEYS // 4), np.uint64) | np.uint64(1)
+OWN_MASKS, OWN_FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 64, (2, WORDS), np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -72,18 +77,28 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(list(shingle_hashes(text))))
 
 
-def fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """Positional bytes: a bit is 1 if it is set in over half of the distinct shingles' hashes."""
-    words = (MORE if len(shingles) <= SMALL else 1) * KEYS // 4
-    sums = np.zeros(64 * words, np.int64)
+def majorities(shingles: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """64 bits, as bytes, for each mask: a bit is 1 if it is set in over half of the distinct shingles' hashes."""
+    sums = np.zeros(64 * len(masks), np.int64)
     for at in range(0, len(shingles), 255):  # sums of so many bits fit a byte
-        part = (shingles[at : at + 255, None] ^ MASKS[:words]) * FACTORS[:words]
+        part = (shingles[at : at + 255, None] ^ masks) * factors
         part = (part ^ (part >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
         part ^= part >> np.uint64(29)
         sums += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * sums > len(shingles), bitorder="little")
 
 
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """Positional bytes, of which keys are made."""
+    words = (MORE if len(shingles) <= SMALL else 1) * KEYS // 4
+    return majorities(shingles, MASKS[:words], FACTORS[:words])
+
+
+def carried_bits(shingles: np.ndarray) -> np.ndarray:
+    """Further bits of the fingerprint, of which no key is made."""
+    return majorities(shingles, OWN_MASKS, OWN_FACTORS).view(np.int64)
+
+
 def position_keys(print_: np.ndarray) -> np.ndarray:
     """Each two neighbouring bytes, with their position."""
     pairs = print_.view(np.uint16)
@@ -91,34 +106,36 @@ def position_keys(print_: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, size, a, b (the carried bits), keys of every row."""
+    """doc_id, text_hash, size, a, b, c (the carried bits), keys of every row."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            sizes, prints = [], []
+            sizes, prints, carried = [], [], []
             for value in batch.column("text"):
                 shingles = shingle_set(value.as_py())
                 sizes.append(len(shingles))
                 prints.append(fingerprint(shingles))
-            carried = np.array([x[:16] for x in prints]).view(np.int64).reshape(-1, 2)
+                carried.append(carried_bits(shingles))
+            bits = np.array(carried, np.int64).reshape(-1, WORDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int32()), pa.array(carried[:, 0]), pa.array(carried[:, 1]), pa.array([position_keys(x) for x in prints], pa.list_(pa.int32()))],
-                ["doc_id", "text_hash", "size", "a", "b", "keys"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int32()), *(pa.array(bits[:, i]) for i in range(WORDS)), pa.array([position_keys(x) for x in prints], pa.list_(pa.int32()))],
+                ["doc_id", "text_hash", "size", "a", "b", "c", "keys"],
             )
 
-    return docs.mapInArrow(signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, size int, a bigint, b bigint, keys array<int>")
+    return docs.mapInArrow(signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, size int, a bigint, b bigint, c bigint, keys array<int>")
 
 
-def near_roots(key: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, short: int = 256) -> np.ndarray:
+def near_roots(key: np.ndarray, size: np.ndarray, carried: list[np.ndarray], short: int = 256) -> np.ndarray:
     """For entries of lists in key order: the first entry of the list that near pairs lead to, -1 for entries that are near no other.
 
-    Near are entries with 128 bits within ``CARRIED`` and sizes that allow the similarity.
+    Near are entries with carried bits within ``CARRIED`` and sizes that allow the similarity.
     """
-    a, b, size = a.view(np.uint64), b.view(np.uint64), size.astype(np.int64)
+    words, size = [x.view(np.uint64) for x in carried], size.astype(np.int64)
+    most = np.where(size <= SMALL, CARRIED[1], CARRIED[0])
 
     def near(some: np.ndarray, others: np.ndarray) -> np.ndarray:
         fits = (5 * size[some] >= 4 * size[others]) & (5 * size[others] >= 4 * size[some])
-        return fits & (np.bitwise_count(a[some] ^ a[others]) + np.bitwise_count(b[some] ^ b[others]) <= CARRIED)
+        return fits & (sum(np.bitwise_count(w[some] ^ w[others]) for w in words) <= np.maximum(most[some], most[others]))
 
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.append(starts[1:], len(key))
@@ -161,14 +178,15 @@ def near_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A list that batches share is carried over; one of more than ``LONG`` entries passes whole, as if all were near.
     """
-    names = ("key", "text_hash", "size", "a", "b")
+    names = ("key", "text_hash", "size", "a", "b", "c")
     held, whole, first = None, -1, 0  # whole: the key of the last list that passes whole; first: its first text hash
 
     def kept(columns: list[np.ndarray]) -> pa.RecordBatch:
         passes = columns[0] == whole
         root, tested = np.full(len(passes), first), np.flatnonzero(~passes)
         if len(tested):
-            found = near_roots(*[columns[i][tested] for i in (0, 2, 3, 4)])
+            key, _, size, *carried = (x[tested] for x in columns)
+            found = near_roots(key, size, carried)
             tested, found = tested[found >= 0], found[found >= 0]
             least = np.full(len(passes), np.iinfo(np.int64).max)
             np.minimum.at(least, found, columns[1][tested])
@@ -196,8 +214,8 @@ def near_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def postings(each: DataFrame) -> DataFrame:
     """key, text_hash, size, root: the index, without entries that are near no other of their list."""
-    texts = each.groupBy("text_hash").agg(F.first(F.struct("size", "a", "b", "keys")).alias("x"))
-    posted = texts.select("text_hash", "x.size", "x.a", "x.b", F.explode("x.keys").alias("key"))
+    texts = each.groupBy("text_hash").agg(F.first(F.struct("size", "a", "b", "c", "keys")).alias("x"))
+    posted = texts.select("text_hash", "x.size", "x.a", "x.b", "x.c", F.explode("x.keys").alias("key"))
     return posted.repartition("key").sortWithinPartitions("key").mapInArrow(near_entries, "key int, text_hash bigint, size int, root bigint")
 
 
@@ -343,7 +361,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit:
     least = linked.groupBy("component").agg(F.min("first").alias("keeper")).select("keeper")
     alone = nodes.join(linked.select("text_hash"), "text_hash", "left_anti").select(F.col("first").alias("keeper"))
     kept = materialize(least.unionByName(alone).select(F.col("keeper.doc_id").alias("kept_id"), F.col("keeper.text_hash").alias("kept_hash")), "kept")
-    stay = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_hash")), "left_semi")
+    stay = docs.join(kept, docs[doc_id].eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs[text]) == kept["kept_hash"]), "left_semi")
     repeated = each_repeats(source, kept)
     return stay.dropDuplicates([doc_id, text]) if repeated else stay
 

@@ -226,7 +226,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_hash") == F.col("keeper.text_hash")))
     kept = kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(F.count(F.lit(1)).alias("rows"))
     kept = materialize(kept, "kept")
-    stay = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_hash")), "left_semi")
+    stay = docs.join(kept, docs[doc_id].eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs[text]) == kept["kept_hash"]), "left_semi")
     if kept.where("rows > 1").isEmpty():
         return stay
     return stay.dropDuplicates([doc_id, text])
