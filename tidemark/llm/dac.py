@@ -59,7 +59,7 @@ LONG_TEXT = 1 << 20
 class WordEncoder(dict):
     """Ids of texts by a vocabulary file whose words are encoded each on its own; words met before are looked up."""
 
-    def __init__(self, vocabulary: str, most: int = 600_000) -> None:
+    def __init__(self, vocabulary: str, most: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(vocabulary), most
