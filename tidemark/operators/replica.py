@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -62,17 +63,28 @@ class Replica:
     control: ControlStore | None = None
 
     def sync(self, now: object) -> dict[str, object]:
-        """Read the schema, widen the target, apply what is new as one write, capture facets, remember. Safe to repeat."""
+        """Read the schema, widen the target, apply what is new as one write, capture facets, remember.
+
+        The write names the target and the watermark that it reaches, so one that counted is never made again, wherever
+        a later step fails: the next poll begins after it.
+        """
         control = self.control or ControlStore(self.lake)
         found = self.columns()
         mark, last = fingerprint(found), control.read(self.target)
         history = HistoryTable(self.lake, self.target, found, self.keys).create(now)
         # Read once: what is stapled, written and counted is one poll, however the source grows meanwhile.
-        changes = materialize(self.poll(last and last["watermark"]), "poll")
-        applied = history.apply(staple(changes, first=history.next_version()), now)
-        upto = changes.agg(F.max("__tt").cast("string")).first()[0] if applied else None
+        before = self.reached() or (last and last["watermark"])
+        changes = materialize(self.poll(before), "poll")
+        upto = changes.agg(F.max("__tt").cast("string")).first()[0]
+        watermark = upto if upto is not None else before
+        applied = history.apply(staple(changes, first=history.next_version()), now, {"commit_extra_info": json.dumps({"target": self.target, "watermark": watermark})})
         discard(changes)
-        watermark = upto if upto is not None else last and last["watermark"]
         captured = {name: capture_essence(self.lake, f"{self.target}_{name}", read(), now) for name, read in self.facets.items()}
         control.write(self.target, watermark, mark, now)
         return {"watermark": watermark, "first": last is None, "evolved": last is not None and last["fingerprint"] != mark, "commits": applied, "facets": captured}
+
+    def reached(self) -> str | None:
+        """The watermark of the last write to the target, from the lake's own log."""
+        marks = self.lake.catalog("snapshot_changes").select("snapshot_id", F.get_json_object("commit_extra_info", "$.target").alias("target"), F.get_json_object("commit_extra_info", "$.watermark").alias("watermark"))
+        found = marks.where(F.col("target") == self.target).agg(F.max_by("watermark", "snapshot_id")).first()
+        return found[0]
