@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.intervals import latest
+from tidemark.session import materialize
+from tidemark.sources.lake import Lake
+
 SEPARATORS = r"[^a-z0-9\x80-￿]+"
 
 
@@ -34,3 +41,112 @@ def search_index(index: DataFrame, key: str, query: str) -> DataFrame:
     wanted = sorted({t for t in query.lower().split() if t})
     found = index.where(F.col("term").isin(*wanted)).groupBy(key).agg(F.count(F.lit(1)).alias("__terms"), F.sum("tf").alias("hits"))
     return found.where(F.col("__terms") == len(wanted)).drop("__terms")
+
+
+# A stored index
+
+
+class TextIndex:
+    """A full-text index kept in a lake: postings with positions, in files that hold a range of terms each.
+
+    A search opens the files whose least and greatest term admit its words, and no others. Upkeep takes changes: a batch
+    is one commit of the new postings and of each row's new version, and postings of older versions no longer count.
+    Nothing is rewritten until ``merge`` drops what no longer counts. A batch that was applied already is left out.
+    """
+
+    def __init__(self, lake: Lake, name: str, fields: list[str], key: str = "key", kind: str = "int64") -> None:
+        self.lake, self.fields, self.key = lake, fields, key
+        self.postings, self.rows = f"{name}_postings", f"{name}_rows"
+        made = {r["table_name"] for r in lake.living("table")}
+        columns = {self.postings: [("term", "varchar"), ("field", "varchar"), ("key", kind), ("version", "int64"), ("positions", "array<int>")], self.rows: [("key", kind), ("version", "int64"), ("live", "boolean")]}
+        for table, wanted in columns.items():
+            if table not in made:
+                lake.create_table(table, wanted)
+
+    def posted(self, texts: DataFrame) -> DataFrame:
+        """term, field, key, version, positions (from 0) of rows with key, version and the fields."""
+        found: DataFrame | None = None
+        for field in self.fields:
+            words = texts.select("key", "version", F.posexplode(terms(F.col(field))).alias("position", "term"))
+            some = words.groupBy("term", F.lit(field).alias("field"), "key", "version").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+            found = some if found is None else found.unionByName(some)
+        return found
+
+    def apply(self, changes: DataFrame, op: str = "__op", order: str = "__version", ranges: int | None = None) -> int | None:
+        """Changes (key, fields, ``op``: D deletes, ``order``) into the index, as one commit; the last image of a key counts.
+
+        Orders up to the last one applied are left out; None where nothing is new.
+        """
+        last = self.reached()
+        fresh = changes.where(F.col(order) > last) if last is not None else changes
+        images = latest(fresh.withColumnRenamed(self.key, "key"), ["key"], [order]).withColumn("version", F.col(order).cast("bigint"))
+        images = materialize(images.select("key", "version", (F.col(op) != "D").alias("live"), *self.fields), "images")
+        upto = images.agg(F.max("version")).first()[0]
+        if upto is None:
+            return None
+        held = self.posted(images.where("live"))
+        held = (held.repartitionByRange(ranges, "term", "key") if ranges else held.repartitionByRange("term", "key")).sortWithinPartitions("term", "field", "key")
+        mark = {"commit_extra_info": json.dumps({"index": self.postings, "upto": upto})}
+        return self.lake.write_all({self.postings: held, self.rows: images.select("key", "version", "live")}, provenance=mark)
+
+    def reached(self) -> int | None:
+        """The last order applied, from the lake's log."""
+        marks = self.lake.catalog("snapshot_changes").where(F.get_json_object("commit_extra_info", "$.index") == self.postings)
+        return marks.agg(F.max(F.get_json_object("commit_extra_info", "$.upto").cast("bigint"))).first()[0]
+
+    def live(self, version: int | None = None) -> DataFrame:
+        return latest(self.lake.read(self.rows, version=version), ["key"], ["version"]).where("live").select("key", "version")
+
+    def of(self, low: str, high: str, field: str | None, version: int | None) -> DataFrame:
+        """Postings that count, of terms in a range, both ends included."""
+        found = self.lake.read(self.postings, version=version, where=[("term", ">=", low), ("term", "<=", high)])
+        found = found.where(F.col("field") == field) if field else found
+        return found.join(self.live(version), ["key", "version"], "left_semi")
+
+    def words(self, query: str, field: str | None = None, version: int | None = None) -> DataFrame:
+        """key, hits: rows that have every word of ``query``, with how often they have any."""
+        wanted = words_of(query)
+        found: DataFrame | None = None
+        for word in sorted(set(wanted)):
+            some = self.of(word, word, field, version).groupBy("key", "term").agg(F.sum(F.size("positions")).alias("tf"))
+            found = some if found is None else found.unionByName(some)
+        if found is None:
+            return self.live(version).select("key", F.lit(0).cast("bigint").alias("hits"))
+        hits = found.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.sum("tf").alias("hits"))
+        return hits.where(F.col("held") == len(set(wanted))).select("key", "hits")
+
+    def phrase(self, query: str, field: str | None = None, version: int | None = None) -> DataFrame:
+        """key, hits: rows in which the words stand one after the other, with how often."""
+        wanted = words_of(query)
+        found: DataFrame | None = None
+        for place, word in enumerate(wanted):
+            some = self.of(word, word, field, version).select("key", "field", F.lit(place).alias("place"), F.transform("positions", lambda p: p - place).alias("begins"))
+            found = some if found is None else found.unionByName(some)
+        if found is None:
+            return self.live(version).select("key", F.lit(0).cast("bigint").alias("hits"))
+        # A row's positions of one word are one array, so a phrase costs a row for each word and field.
+        lists = [F.first(F.when(F.col("place") == i, F.col("begins")), ignorenulls=True) for i in range(len(wanted))]
+        both = lists[0]
+        for other in lists[1:]:
+            both = F.array_intersect(both, other)
+        hits = found.groupBy("key", "field").agg(F.coalesce(F.size(both), F.lit(0)).cast("bigint").alias("n"))
+        return hits.groupBy("key").agg(F.sum("n").alias("hits")).where("hits > 0")
+
+    def prefix(self, start: str, field: str | None = None, version: int | None = None) -> DataFrame:
+        """key, hits: rows with words that begin so."""
+        wanted = words_of(start)
+        if len(wanted) != 1:
+            raise ValueError("a prefix is the beginning of one word")
+        return self.of(wanted[0], wanted[0] + chr(0x10FFFF), field, version).groupBy("key").agg(F.sum(F.size("positions")).cast("bigint").alias("hits"))
+
+    def merge(self, ranges: int | None = None) -> None:
+        """Rewrite the postings that count, sorted anew, and each row's last version; older versions of the lake stay as they are."""
+        held = self.lake.read(self.postings).join(self.live(), ["key", "version"], "left_semi")
+        held = (held.repartitionByRange(ranges, "term", "key") if ranges else held.repartitionByRange("term", "key")).sortWithinPartitions("term", "field", "key")
+        self.lake.replace(self.postings, held, changes=f"compacted_table:{self.postings}")
+        self.lake.replace(self.rows, latest(self.lake.read(self.rows), ["key"], ["version"]), changes=f"compacted_table:{self.rows}")
+
+
+def words_of(query: str) -> list[str]:
+    """The words of a query, cut as texts are."""
+    return [w for w in re.split("[^a-z0-9\x80-￿]+", query.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]

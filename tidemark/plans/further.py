@@ -250,11 +250,40 @@ def trace_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", provenance.traceparent(wide(F.col("event_id") + 1, 32), wide(F.col("user_id") + 1, 16), F.col("event_id") % 2 == 0).alias("header"))
 
 
-@query(ORACLES["text_index_search"])
+WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\x{80}-\x{FFFF}]+'), lambda t: t <> '')"
+#: Documents after the second batch: one in ten deleted, one in ten written anew, one in ten added.
+CHANGED_DOCUMENTS = f"SELECT doc_id, {WORDS} AS w FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN concat('The end of the ', coalesce(text, '')) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0)"
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> textsearch.TextIndex:
+    """A stored index of the documents, and a batch of insertions, updates and deletions applied to it."""
+    index = textsearch.TextIndex(Lake(spark, scratch_path(spark, "lake")).init(), "documents", ["text"], "doc_id")
+    docs, kind = table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 10
+    index.apply(docs.where(kind != 2).withColumn("__op", F.lit("I")).withColumn("__version", F.lit(1)), ranges=16)
+    op = F.when(kind == 0, "D").when(kind == 1, "U").otherwise("I")
+    changed = F.when(kind == 1, F.concat(F.lit("The end of the "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    index.apply(docs.where(kind < 3).select("doc_id", changed.alias("text"), op.alias("__op"), F.lit(2).alias("__version")), ranges=16)
+    return index
+
+
+@query(f"SELECT doc_id, len(list_filter(w, lambda t: t = 'the' OR t = 'end')) AS hits FROM ({CHANGED_DOCUMENTS}) WHERE list_contains(w, 'the') AND list_contains(w, 'end')")
 def text_search_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search from an inverted index: only the postings of the query's words are read."""
-    index = textsearch.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return textsearch.search_index(index, "doc_id", "the")
+    """Rows with all words of a query, from a stored index after changes: files of other terms are not opened."""
+    return text_index(spark, sf_dir).words("The end").withColumnRenamed("key", "doc_id")
+
+
+@query(f"SELECT doc_id, hits FROM (SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS hits FROM ({CHANGED_DOCUMENTS})) WHERE hits > 0")
+def text_phrase_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a phrase, by the positions in a stored index after changes."""
+    return text_index(spark, sf_dir).phrase("of the").withColumnRenamed("key", "doc_id")
+
+
+@query(f"SELECT doc_id, hits FROM (SELECT doc_id, len(list_filter(w, lambda t: starts_with(t, 'th'))) AS hits FROM ({CHANGED_DOCUMENTS})) WHERE hits > 0")
+def text_prefix_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with words of a beginning, by the range of terms, after the index was merged."""
+    index = text_index(spark, sf_dir)
+    index.merge(ranges=16)
+    return index.prefix("th").withColumnRenamed("key", "doc_id")
 
 
 # Relations

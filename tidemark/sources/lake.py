@@ -211,6 +211,12 @@ class Lake:
                 found[key] = row
         return [r for r in found.values() if (r.get(VERSION) or 0) <= upto and (r.get(ENDED) is None or r[ENDED] > upto)]
 
+    def entries(self, name: str, table_id: int, version: int | None = None) -> list[dict]:
+        """Files or deletions of one table: from the log without a job, or by Spark where some are in Parquet."""
+        if self.log.refresh().parts(name):
+            return [r.asDict() for r in self.current(name, version).where(F.col("table_id") == table_id).collect()]
+        return [r for r in self.living(name, version) if r["table_id"] == table_id]
+
     def state(self) -> WriterState:
         """The last snapshot's numbers; an empty log gives (0, 1, 0, 0)."""
         rows = self.log.refresh().rows("snapshot")
@@ -566,11 +572,14 @@ class Lake:
         """The rows of a table; with ``places`` also __file and __row (of inlined rows null and their name)."""
         target = self.schema_of(table, schema, version)
         table_id = self.table_id(table, schema, version)
-        files = self.list_files(table, schema, version).select("data_file_id", "path")
-        for column, sign, value in where:
-            files = files.join(self.ruled_out(target[column], sign, value), "data_file_id", "left_anti")
-        paths = {r["data_file_id"]: r["path"] for r in files.collect()}
-        gone = self.current("delete_file", version).where(F.col("table_id") == table_id).select("data_file_id", "path").collect() if paths else []
+        paths = {r["data_file_id"]: r["path"] for r in self.entries("data_file", table_id, version)}
+        out: DataFrame | None = None
+        for column, sign, value in where if paths else []:
+            some = self.ruled_out(table_id, target[column], sign, value)
+            out = some if out is None else out.unionByName(some)
+        for row in out.distinct().collect() if out is not None else []:
+            paths.pop(row["data_file_id"], None)
+        gone = self.entries("delete_file", table_id, version) if paths else []
         touched = {r["data_file_id"] for r in gone} & set(paths)
         parts = []
         if len(paths) > len(touched):
@@ -589,11 +598,11 @@ class Lake:
             found = found.unionByName(part)
         return found
 
-    def ruled_out(self, column: T.StructField, sign: str, value: object) -> DataFrame:
+    def ruled_out(self, table_id: int, column: T.StructField, sign: str, value: object) -> DataFrame:
         """data_file_id of files that hold no value that passes: by the ends of the column, or as it is null throughout."""
         if sign not in TESTS:
             raise ValueError(f"unknown sign {sign}")
-        stats = self.catalog("file_column_stats").where(F.col("column_id") == column.metadata["parquet.field.id"])
+        stats = self.catalog("file_column_stats").where((F.col("table_id") == table_id) & (F.col("column_id") == column.metadata["parquet.field.id"]))
         low, high, wanted = F.col("min_value").cast(column.dataType), F.col("max_value").cast(column.dataType), F.lit(value).cast(column.dataType)
         outside = {"=": (low > wanted) | (high < wanted), "<": low >= wanted, "<=": low > wanted, ">": high <= wanted, ">=": high < wanted}[sign]
         return stats.where(outside | (F.col("null_count") == F.col("value_count"))).select("data_file_id")
