@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import extract, text
 from tidemark.functions import json as fj
-from tidemark.operators import acquire, codegen, diff, intervals, migrate, profile, provenance, registry, relate, replica, textsearch, ttst
+from tidemark.operators import acquire, codegen, diff, fingerprints, intervals, migrate, profile, provenance, registry, relate, replica, textsearch, ttst, variants
 from tidemark.plans.catalogue import ORACLES, STAGED_AT, V_BACKLOG, V_CAPTURE, V_IDENTITY, moment, query, table, v_backlog, v_capture, v_identity, versioned, VERSIONED
 from tidemark.session import scratch_path
 from tidemark.sources.lake import HistoryTable, Lake
@@ -379,3 +379,34 @@ def full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.write("registry", nations)
     store.replace("registry", nations.unionByName(regions))
     return store.read("registry")
+
+
+# Fingerprints and semi-structured values
+
+CONTAINED = ["region", "nation", "supplier", "customer", "part", "orders"]
+ALL_CELLS = " UNION ALL ".join(
+    f"SELECT '{t}.{c}' AS c, CAST({c} AS VARCHAR) AS v FROM {t}"
+    for t, columns in {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]}.items()
+    for c in columns
+)
+
+
+@query(f"WITH cells AS (SELECT DISTINCT c, v FROM ({ALL_CELLS}) WHERE v IS NOT NULL), n AS (SELECT c, count(*) AS n FROM cells GROUP BY c), m AS (SELECT x.c AS a, y.c AS b, count(*) AS m FROM cells x JOIN cells y ON x.v = y.v AND x.c <> y.c GROUP BY 1, 2) SELECT m.a, m.b, n.n FROM m JOIN n ON n.c = m.a WHERE m.m = n.n")
+def columns_within_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column whose values all stand in another one, of all columns of six tables, by bitmap fingerprints."""
+    return fingerprints.contained({t: table(spark, sf_dir, t).drop("o_orderdate") for t in CONTAINED})
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, replace(props, ' ', '') AS props FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")
+def shredded_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot keys of a JSON column as typed columns in a lake, filtered by one and put together again."""
+    events = table(spark, sf_dir, "events").select("event_id", variants.parsed(F.col("props")).alias("props"))
+    types = variants.path_types(events, "props")
+    keys = variants.hot_keys(types, events.count())
+    held = variants.shred(events, "props", keys)
+    store = Lake(spark, scratch_path(spark, "lake")).init()
+    store.create_table("events", [("event_id", "int64"), *((variants.shredded_name("props", k), kind) for k, kind in keys.items()), ("props", "variant")])
+    store.write("events", held.repartitionByRange(8, variants.shredded_name("props", "k")))
+    found = store.read("events", where=[(variants.shredded_name("props", "k"), ">", 50)])
+    whole = variants.unshred(found.withColumn("k", F.col(variants.shredded_name("props", "k"))), "props", keys)
+    return whole.select("event_id", "k", F.to_json("props").alias("props"))
