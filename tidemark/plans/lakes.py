@@ -9,6 +9,8 @@ from tidemark.plans.catalogue import moment, query, table
 from tidemark.session import scratch_path
 from tidemark.sources import lake
 from tidemark.sources.lake import Lake
+from tidemark.streaming.replay import replay
+from tidemark.streaming.state import retained_changes
 
 SUPPLIER = [("s_suppkey", "int64"), ("s_name", "varchar"), ("s_nationkey", "int32"), ("s_acctbal", "float64")]
 ORDERS = [("o_orderkey", "int64"), ("o_custkey", "int64"), ("o_orderstatus", "varchar"), ("o_totalprice", "float64"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "varchar")]
@@ -90,3 +92,21 @@ def lake_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.compact("customer")
     store.drop_table("customer")
     return store.snapshots().where("snapshot_id > 0").select("snapshot_id", "changes_made")
+
+
+# Streams with event time
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, event_id, event_type, lag(ts) OVER w AS before, lag(event_type) OVER w AS was, lead(ts) OVER w AS next, max(ts) OVER () - INTERVAL 1 HOUR AS mark FROM events WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT user_id, 'change' AS kind, ts, event_id, event_type FROM e WHERE before IS NULL OR before + INTERVAL 12 HOUR <= ts OR was IS DISTINCT FROM event_type
+UNION ALL SELECT user_id, 'expired', ts, event_id, event_type FROM e, m WHERE ts + INTERVAL 12 HOUR <= coalesce(next, m.mark)"""
+)
+def stream_retained_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of each key in event time, and keys silent for half a day, from a replayed stream whose state expires."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    found = retained_changes(replay(events, "ts", 6), ["user_id"], "ts", "event_id", ["event_type"], "1 hour", lake.dt.timedelta(hours=12))
+    target = scratch_path(spark, "retained")
+    found.writeStream.option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).format("parquet").start(target).awaitTermination()
+    return spark.read.schema(found.schema).parquet(target).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

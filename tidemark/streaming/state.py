@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -60,3 +61,72 @@ def tumbling(stream: DataFrame, keys: list[str], at: str, width: str, delay: str
 def first_seen(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
     """Each (key, time) once, within the watermark."""
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([*keys, at])
+
+
+class RetainedKeys(StatefulProcessor):
+    """Rows of each key in the order of their times, changed ones only, and a notice when a key has been silent too long.
+
+    Rows wait in state, one entry for each (time, order), until the watermark has passed them; a timer then takes them in
+    order, whatever order they came in. Values are held as they are, under their own types. ``retention`` after a
+    key's last row its state goes and an ``expired`` row asks for a resync: the next row counts as new.
+    """
+
+    def __init__(self, names: list[str], kinds: T.StructType, at: str, order: str, values: list[str], retention_ms: int) -> None:
+        self.names, self.kinds, self.at, self.order, self.values, self.retention = names, kinds, at, order, values, retention_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        held = T.StructType([self.kinds[self.at], self.kinds[self.order], *(self.kinds[v] for v in self.values)])
+        place = T.StructType([T.StructField("millis", T.LongType()), T.StructField("place", T.StringType())])
+        self.waiting = handle.getMapState("waiting", place, held)
+        self.last = handle.getValueState("last", held)
+
+    def millis(self, at: dt.datetime) -> int:
+        """Whole milliseconds from which on a time has passed."""
+        return -(-round(at.timestamp() * 1_000_000) // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer: object) -> Iterator[Row]:
+        for row in rows:
+            at = self.millis(row[self.at])
+            # Places are held as text of fixed width, so that entries sort as their order columns do.
+            self.waiting.updateValue((at, f"{row[self.order]:020d}"), tuple(row[c] for c in (self.at, self.order, *self.values)))
+            self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N803 (names are the caller's)
+        # The watermark may have passed many times at once; timers set meanwhile would wait for another batch.
+        now, row_of = timerValues.getCurrentWatermarkInMs(), Row(*self.names)
+        last = tuple(self.last.get()) if self.last.exists() else None
+        for place in sorted(p for p in self.waiting.keys() if p[0] <= now):
+            row = tuple(self.waiting.getValue(place))
+            self.waiting.removeKey(place)
+            if last is not None and self.millis(last[0]) + self.retention <= place[0]:
+                yield row_of(*key, "expired", *last)
+                last = None
+            if last is None or last[2:] != row[2:]:
+                yield row_of(*key, "change", *row)
+            last = row
+        if last is not None and self.millis(last[0]) + self.retention <= now:
+            yield row_of(*key, "expired", *last)
+            last = None
+        if last is None:
+            self.last.clear()
+        else:
+            self.last.update(last)
+            self.handle.registerTimer(self.millis(last[0]) + self.retention)
+
+    def close(self) -> None:
+        pass
+
+
+def retained_changes(stream: DataFrame, keys: list[str], at: str, order: str, values: list[str], delay: str, retention: dt.timedelta) -> DataFrame:
+    """keys, kind (change or expired), at, order, values: changes of each key in event time, and keys that need a resync.
+
+    ``order`` is a whole number of 0 or more that orders rows of one time. Rows behind the watermark, which lags by
+    ``delay``, are dropped by Spark and counted in the query's progress. Needs the RocksDB state store.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kinds = stream.select(*keys, at, order, *values).schema
+    out = T.StructType([*(kinds[k] for k in keys), T.StructField("kind", T.StringType()), kinds[at], kinds[order], *(kinds[v] for v in values)])
+    processor = RetainedKeys(out.names, kinds, at, order, values, retention // dt.timedelta(milliseconds=1))
+    return stream.withWatermark(at, delay).groupBy(*keys).transformWithState(processor, out, "Append", "EventTime")
