@@ -184,3 +184,36 @@ def test_images_without_an_order_are_refused(spark, store):
         history.apply(twice.withColumn("version", F.lit(1)).withColumn("__tt", F.lit(dt.datetime(2026, 1, 1))))
     history.apply_commit(twice.withColumn("__place", F.when(F.col("v") == "a", 2).otherwise(1)))
     assert [r["v"] for r in history.state().collect()] == ["a"]
+
+
+def test_many_sources_go_on_where_one_fails(spark, store, monkeypatch):
+    sources = {"a": [(1, 1, "x"), (2, 2, "y")], "b": [(1, 5, "p")], "c": [(i, i, "q") for i in range(1, 40)]}
+    broken, polls = {"b"}, []
+
+    def replica_of(name):
+        def poll(watermark):
+            polls.append((name, watermark))
+            if name in broken:
+                raise RuntimeError("source is away")
+            rows = spark.createDataFrame(sources[name], "id bigint, tt bigint, v string").where(F.col("tt") > int(watermark or 0))
+            return rows.select("id", "v", F.lit("U").alias("__op"), F.col("tt").alias("__tt"), F.lit(dt.datetime(2026, 1, 1)).alias("__label"))
+
+        return replica.Replica(store, name, ["id"], lambda: [("id", "int64"), ("v", "varchar")], poll)
+
+    copies = [replica_of(n) for n in sources]
+    now = dt.datetime(2026, 1, 2)
+    write, calls = store.write_all, []
+    monkeypatch.setattr(store, "write_all", lambda *a, **k: (calls.append(sorted(a[0])), write(*a, **k) if len(calls) != 2 else 1 / 0)[1])
+    with pytest.raises(ZeroDivisionError):  # the run stops between its two batches
+        replica.sync_all(copies, now, batch_rows=39)
+    assert calls == [["c"], ["a"]]
+    assert replica.sync_all(copies, now, batch_rows=39) == {"b": {"error": "RuntimeError: source is away"}, "a": {"commits": 2, "watermark": "2"}, "c": {"commits": 0, "watermark": "39"}}
+    broken.clear()
+    sources["a"].append((1, 9, "z"))
+    last = replica.sync_all(copies, now, batch_rows=39)
+    assert last == {"a": {"commits": 1, "watermark": "9"}, "b": {"commits": 1, "watermark": "5"}, "c": {"commits": 0, "watermark": "39"}} and calls[-1] == ["a", "b"]
+    for name, rows in sources.items():
+        history = lake.HistoryTable(store, name, [("id", "int64"), ("v", "varchar")], ["id"])
+        assert history.log().count() == len(rows)
+        assert {r["id"]: r["v"] for r in history.state().collect()} == {i: v for i, _, v in rows}
+    assert polls[-1][1] is not None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -77,7 +78,7 @@ class Replica:
         changes = materialize(self.poll(before), "poll")
         upto = changes.agg(F.max("__tt").cast("string")).first()[0]
         watermark = upto if upto is not None else before
-        applied = history.apply(staple(changes, first=history.next_version()), now, {"commit_extra_info": json.dumps({"target": self.target, "watermark": watermark})})
+        applied = history.apply(staple(changes, first=history.next_version()), now, marks({self.target: watermark}))
         discard(changes)
         captured = {name: capture_essence(self.lake, f"{self.target}_{name}", read(), now) for name, read in self.facets.items()}
         control.write(self.target, watermark, mark, now)
@@ -85,6 +86,83 @@ class Replica:
 
     def reached(self) -> str | None:
         """The watermark of the last write to the target, from the lake's own log."""
-        marks = self.lake.catalog("snapshot_changes").select("snapshot_id", F.get_json_object("commit_extra_info", "$.target").alias("target"), F.get_json_object("commit_extra_info", "$.watermark").alias("watermark"))
-        found = marks.where(F.col("target") == self.target).agg(F.max_by("watermark", "snapshot_id")).first()
-        return found[0]
+        held = F.from_json(F.get_json_object("commit_extra_info", "$.watermarks"), "map<string,string>")[self.target]
+        found = self.lake.catalog("snapshot_changes").select("snapshot_id", held.alias("watermark")).where("watermark is not null")
+        return found.agg(F.max_by("watermark", "snapshot_id")).first()[0]
+
+    def define(self, now: object) -> HistoryTable:
+        """The target with all columns that the source has now."""
+        return HistoryTable(self.lake, self.target, self.columns(), self.keys).create(now)
+
+
+def marks(watermarks: dict[str, str | None]) -> dict[str, str]:
+    """What a commit says of the watermarks that it reaches."""
+    return {"commit_extra_info": json.dumps({"watermarks": watermarks})}
+
+
+@dataclass
+class Polled:
+    """One source's new changes: what a batch writes of it."""
+
+    replica: Replica
+    history: HistoryTable
+    changes: DataFrame
+    rows: int
+    watermark: str | None
+
+
+def sync_all(replicas: list[Replica], now: object, batch_rows: int = 1_000_000, threads: int = 4) -> dict[str, dict]:
+    """Sync many sources into one lake; returns what became of each target: commits and watermark, or an error.
+
+    Sources are polled side by side, each from its own watermark. By the rows found, small ones are dealt into batches of
+    about ``batch_rows`` and large ones stand alone; a batch is one commit of all its tables with their watermarks, so a run
+    that stops midway leaves whole batches, and the next one goes on from there. A source that fails is left out.
+    """
+    results: dict[str, dict] = {}
+
+    def attempt(replica: Replica, step: Callable) -> object:
+        try:
+            return step()
+        except Exception as error:  # kept apart: the others go on, and the caller sees it
+            results[replica.target] = {"error": f"{type(error).__name__}: {error}"}
+            return None
+
+    # Definitions one by one, as each is a commit; polls side by side.
+    defined = [(r, h) for r in replicas if (h := attempt(r, lambda r=r: r.define(now))) is not None]
+
+    def poll(replica: Replica, history: HistoryTable) -> Polled:
+        before = replica.reached()
+        changes = materialize(replica.poll(before), "poll")
+        count, upto = changes.agg(F.count(F.lit(1)), F.max("__tt").cast("string")).first()
+        return Polled(replica, history, changes, count, before if upto is None else upto)
+
+    with ThreadPoolExecutor(threads) as pool:
+        polled = [p for p in pool.map(lambda d: attempt(d[0], lambda: poll(*d)), defined) if p is not None]
+    for batch in dealt(polled, batch_rows):
+        rows, counts = {}, {}
+        for source in batch:
+            fresh = attempt(source.replica, lambda s=source: s.history.fresh(staple(s.changes, first=s.history.next_version())))
+            if fresh is not None:
+                counts[source.replica.target] = fresh[1]
+                if fresh[1]:
+                    rows[source.replica.target] = fresh[0]
+        written = [s for s in batch if s.replica.target in counts]
+        if rows:
+            batch[0].replica.lake.write_all(rows, when=now, provenance=marks({s.replica.target: s.watermark for s in written}))
+        for source in written:
+            results[source.replica.target] = {"commits": counts[source.replica.target], "watermark": source.watermark}
+        for source in batch:
+            discard(source.changes)
+    return results
+
+
+def dealt(polled: list[Polled], most: int) -> list[list[Polled]]:
+    """Batches of about ``most`` rows, the largest sources first."""
+    batches: list[tuple[int, list[Polled]]] = []
+    for source in sorted(polled, key=lambda s: -s.rows):
+        at = next((i for i, (held, _) in enumerate(batches) if held + source.rows <= most), None)
+        if at is None:
+            batches.append((source.rows, [source]))
+        else:
+            batches[at] = (batches[at][0] + source.rows, [*batches[at][1], source])
+    return [b for _, b in batches]

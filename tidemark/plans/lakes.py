@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import replica
 from tidemark.plans.catalogue import moment, query, table
 from tidemark.session import scratch_path
 from tidemark.sources import lake
@@ -94,6 +95,38 @@ def lake_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.snapshots().where("snapshot_id > 0").select("snapshot_id", "changes_made")
 
 
+@query("SELECT 'orders' AS source, o_custkey AS id, max(o_orderkey) AS last, count(*) AS images FROM orders GROUP BY o_custkey UNION ALL SELECT 'events', user_id, max(event_id), count(*) FROM events GROUP BY user_id UNION ALL SELECT 'customer', c_nationkey, max(c_custkey), count(*) FROM customer GROUP BY c_nationkey")
+def lake_synced_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sources synced into one lake; one fails at first, and the next run takes up what is missing and no more."""
+    store, away = new_lake(spark), {"events"}
+    keys = {"orders": ("o_custkey", "o_orderkey"), "events": ("user_id", "event_id"), "customer": ("c_nationkey", "c_custkey")}
+
+    def copy(name: str) -> replica.Replica:
+        key, order = keys[name]
+        rows = table(spark, sf_dir, name).select(F.col(key).cast("bigint").alias("id"), F.col(order).cast("bigint").alias("last"))
+
+        def poll(watermark: str | None) -> DataFrame:
+            if name in away:
+                raise ConnectionError(name)
+            # A commit for each thousand of the source's own numbers.
+            new = rows.withColumn("__tt", F.floor(F.col("last") / 1000)).where(F.col("__tt") > (-1 if watermark is None else int(watermark)))
+            return new.select("*", F.lit("U").alias("__op"), F.col("last").alias("__place"), F.timestamp_seconds("__tt").cast("timestamp_ntz").alias("__label"))
+
+        return replica.Replica(store, name, ["id"], lambda: [("id", "int64"), ("last", "int64")], poll)
+
+    copies = [copy(n) for n in keys]
+    replica.sync_all(copies, lake.now(), batch_rows=20_000)
+    away.clear()
+    replica.sync_all(copies, lake.now(), batch_rows=20_000)
+    found: DataFrame | None = None
+    for name in keys:
+        history = lake.HistoryTable(store, name, [("id", "int64"), ("last", "int64")], ["id"])
+        counts = history.log().groupBy("id").agg(F.count(F.lit(1)).alias("images"))
+        some = history.state().join(counts, "id").select(F.lit(name).alias("source"), "id", "last", "images")
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
 # Streams with event time
 
 

@@ -791,15 +791,17 @@ class HistoryTable:
 
         Versions at or before the last one are left out, so the same batch again writes nothing.
         """
-        first = self.next_version()
-        fresh = changes.where(F.col("version") >= first)
-        label = F.col("__label") if "__label" in changes.columns else F.col("__tt")
-        rows = fresh.withColumn("__version", F.col("version")).withColumn("__label", label)
-        rows, count = self.placed(rows)
+        rows, count = self.fresh(changes)
         if count:
             self.lake.write(self.table, rows, self.schema, when, provenance)
         return count
 
+    def fresh(self, changes: DataFrame) -> tuple[DataFrame, int]:
+        """Rows of the table for changes of versions that it does not have yet, and how many versions those are."""
+        fresh = changes.where(F.col("version") >= self.next_version())
+        label = F.col("__label") if "__label" in changes.columns else F.col("__tt")
+        return self.placed(fresh.withColumn("__version", F.col("version")).withColumn("__label", label))
+
     def placed(self, rows: DataFrame) -> tuple[DataFrame, int]:
         """``rows`` with ``__place``, and their commits. Several images of a key in one commit need places, as nothing else orders them."""
         given = "__place" in rows.columns
