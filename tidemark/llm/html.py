@@ -8,10 +8,11 @@ aligned one after the other, in order of their shapes' hashes, and what does not
 
 The wrapper decides what the main text is. Each page is aligned with its host's wrapper, from the root down: the
 child whose slots hold at least ``SHARE`` of the slots' text is entered, until none does. Constants and links
-count for nothing there. What the markup declares (an article, a menu, an advert) weighs a child's text up or
-down, so it decides where the wrapper has little to go by, as on a host of one page. From the part that is
-found, forms, menus, comments and the like are left out, and what class names mark is left out only if the
-wrapper has little text there; so are texts that all of ``CERTAIN`` or more differing pages repeat.
+count for nothing there. On a host of fewer than ``SOME`` differing pages, where the wrapper has little to go by,
+what the markup declares (an article, a menu, an advert) weighs a child's text up or down, and a declared article is
+entered no further; elsewhere the slots alone decide. From the part that is found, forms, menus, comments and the like are left out, and what class names mark is left out only if the
+wrapper has little text there; so are texts that all of ``CERTAIN`` or more differing pages repeat,
+unless they stand in a declared article.
 
 All pages take part in the wrappers. Each task merges its own pages; the partial wrappers of a host are merged
 in buckets of some 64 shapes, level by level, so no task gets a large host whole. A tree wider than ``WIDEST``
@@ -445,17 +446,18 @@ def mean(item: Leaf | Node, other: Leaf | Node | None, sure: bool) -> float:
 
 def main_blocks(page: Node, wrapper: Node) -> list[str]:
     """The blocks of the part that the wrapper's slots point to."""
-    node, other, before = page, wrapper, []
+    node, other, before, article = page, wrapper, [], False
     sure = len(wrapper.seen) >= SOME
     while True:
         pairs = matched(node, other)
-        if node.declared == 1:
+        article |= node.declared == 1
+        if article and not sure:
             break
-        weights = [mean(x, o, sure) * (UP if x.declared and (not x.aside or x.declared & 2) else DOWN if x.aside else 1.0) for x, o, _ in pairs]
+        weights = [mean(x, o, sure) * (1.0 if sure else UP if x.declared and (not x.aside or x.declared & 2) else DOWN if x.aside else 1.0) for x, o, _ in pairs]
         groups: dict[object, list[int]] = {}  # repeated elements are one candidate
         for i, (x, o, repeats) in enumerate(pairs):
             if isinstance(x, Node):
-                groups.setdefault(id(o) if repeats and o is not None else (x.label, "declared") if x.declared & 1 else (id(x), i), []).append(i)
+                groups.setdefault(id(o) if repeats and o is not None else (x.label, "declared") if x.declared & 1 and not sure else (id(x), i), []).append(i)
         if not groups:
             break
         best = max(groups.values(), key=lambda g: (sum(weights[i] for i in g), -g[0]))
@@ -463,27 +465,28 @@ def main_blocks(page: Node, wrapper: Node) -> list[str]:
             break
         before += [x.text for x, o, _ in pairs[: best[0]] if isinstance(x, Leaf) and x.label[:3] in ("=h1", "=h2") and not x.aside and not (sure and o is not None and o.mark is not None)]
         if len(best) > 1:
-            return before + [text for i in best for text in kept(pairs[i][0], pairs[i][1])]
+            return before + [text for i in best for text in kept(pairs[i][0], pairs[i][1], article)]
         node, other, _ = pairs[best[0]]
-    return before + kept(node, other)
+    return before + kept(node, other, article)
 
 
-def kept(region: Node, wrapper: Node | None) -> list[str]:
-    """Blocks of a part: without what markup declares to be something else, and without constants that are certain."""
+def kept(region: Node, wrapper: Node | None, article: bool = False) -> list[str]:
+    """Blocks of a part: without what markup declares to be something else, and, outside a declared article, without constants that are certain."""
     out: list[str] = []
     whole = mean(region, wrapper, False) if wrapper is None else wrapper.content / max(1, wrapper.n)
     certain = isinstance(wrapper, Node) and len(wrapper.seen) >= CERTAIN
 
-    def visit(node: Node, other: Node | None) -> None:
+    def visit(node: Node, other: Node | None, article: bool) -> None:
+        article = article or node.declared == 1
         for x, o, repeats in matched(node, other):
             if x.aside == 2 or (x.aside == 1 and mean(x, o, False) < 0.5 * SHARE * whole):
                 continue
             if isinstance(x, Node):
-                visit(x, o if isinstance(o, Node) else None)
-            elif not (certain and isinstance(o, Leaf) and o.mark is not None and not repeats and o.n >= wrapper.n):
+                visit(x, o if isinstance(o, Node) else None, article)
+            elif article or not (certain and isinstance(o, Leaf) and o.mark is not None and not repeats and o.n >= wrapper.n):
                 out.append(x.text)
 
-    visit(region, wrapper)
+    visit(region, wrapper, article)
     return out
 
 
