@@ -3,9 +3,10 @@
 Vectors are normalised and rotated (random signs, then a Walsh-Hadamard transform) and split into blocks of
 few dimensions. Two vectors of cosine ``threshold`` or more are at most ``2 - 2 * threshold`` apart in
 squared distance, so in some block they are within its proportional share of that budget. Each block is
-range-joined on a grid: a vector lives in one cell and visits those later cells that its ball touches. Pairs
-that meet are tested on the block, kept in the first block that admits them only, and verified by their
-cosine in double precision. The union over the blocks has every pair, once.
+range-joined on a grid: a vector lives in one cell and visits those later cells that its ball touches. What visits
+is an id and its coordinates in the block. Only members of a cell that are near another one on the block get their
+vectors, by a join; their pairs are kept in the first block that admits them only, and verified by their cosine in
+double precision. The union over the blocks has every pair, once.
 
 A cell that holds more than ``limit`` vectors is dealt into chunks that meet pairwise in separate tasks.
 Tasks emit counts and a spanning forest, never pairs; equal vectors are one class with a count throughout.
@@ -140,6 +141,44 @@ def compare(vectors: np.ndarray, home: np.ndarray, side: np.ndarray, block: int,
     return gained, root
 
 
+def have_partners(own: np.ndarray, home: np.ndarray, side: np.ndarray, limit: float) -> np.ndarray:
+    """Which members of one task are within the budget of another one on the block: by coordinates of single precision, with room for it."""
+    own = own.astype(np.float64)
+    squares, found = (own * own).sum(axis=1), np.zeros(len(own), bool)
+    for start in range(0, len(own), 256):
+        rows = slice(start, start + 256)
+        apart = squares[rows, None] + squares[None, :] - 2 * own[rows] @ own.T
+        near = (apart <= limit + 1e-5) & (home[rows, None] | home[None, :]) & ((side[rows, None] == 0) | (side[rows, None] != side[None, :]))
+        near[np.arange(len(near)), np.arange(start, start + len(near))] = False
+        found[rows] |= near.any(axis=1)
+    return found
+
+
+def groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of rows that arrive in order of their key."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+        start = 0
+        while start < len(keys):
+            end = start
+            while end < len(keys) and keys[end] == keys[start]:
+                end += 1
+            if held and keys[start] != key:
+                yield key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = keys[start]
+            held.append(batch.slice(start, end - start))
+            start = end
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks()
+
+
+def sides(table: pa.Table, a: int, b: int) -> np.ndarray:
+    return np.zeros(table.num_rows, np.int8) if a == b else np.where(table.column("chunk").to_numpy() == a, 1, 2)
+
+
 def valid() -> str:
     return "label is not null and vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)"
 
@@ -170,17 +209,18 @@ def near_duplicates(
             for dim in np.unique(dims):
                 batch = whole.filter(pa.array(dims == dim))
                 spun = rotated(matrix(batch.column("vector")))
+                flat = spun.astype(np.float32)
                 for number, part in enumerate(block_slices(spun.shape[1], blocks)):
                     radius = math.sqrt(budget(part, spun.shape[1], threshold))
                     for at, cell, home in cells(spun[:, part], radius, min(coordinates, part.stop - part.start)):
-                        taken = batch.take(pa.array(at))
+                        own = pa.array([x.tobytes() for x in np.ascontiguousarray(flat[at, part])], pa.binary())
                         yield pa.RecordBatch.from_arrays(
-                            [taken.column("label"), taken.column("dim"), pa.array(np.full(len(at), number, np.int32)), pa.array(cell), pa.array(np.full(len(at), home)), taken.column("cid"), taken.column("members"), taken.column("vector")],
-                            ["label", "dim", "block", "cell", "home", "cid", "members", "vector"],
+                            [batch.column("label").take(pa.array(at)), batch.column("dim").take(pa.array(at)), pa.array(np.full(len(at), number, np.int32)), pa.array(cell), pa.array(np.full(len(at), home)), batch.column("cid").take(pa.array(at)), own],
+                            ["label", "dim", "block", "cell", "home", "cid", "own"],
                         )
 
-    label_type, vector_type = classes.schema["label"].dataType.simpleString(), classes.schema["vector"].dataType.simpleString()
-    placed = classes.select("label", "dim", "cid", "members", "vector").mapInArrow(place, f"label {label_type}, dim int, block int, cell bigint, home boolean, cid bigint, members bigint, vector {vector_type}")
+    label_type = classes.schema["label"].dataType.simpleString()
+    placed = classes.select("label", "dim", "cid", "vector").mapInArrow(place, f"label {label_type}, dim int, block int, cell bigint, home boolean, cid bigint, own binary")
     cell_key = ["label", "dim", "block", "cell"]
     placed = materialize(placed, "placed")
     full = placed.groupBy(*cell_key).agg(F.count(F.lit(1)).alias("held"), F.max("home").alias("any_home")).where("held > 1 and any_home")
@@ -188,44 +228,33 @@ def near_duplicates(
     chunk = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
     met = met.withColumn("chunk", chunk).withColumn("other", F.explode(others))
-    met = met.select(*cell_key, F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "home", "cid", "members", "vector")
+    met = met.select(*cell_key, F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "home", "cid", "own")
     group = [*cell_key, "a", "b"]
-    dealt = met.repartition(*group).sortWithinPartitions(*group)
+    in_order = lambda rows: rows.repartition(*group).sortWithinPartitions(*group)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, dim, block, _, a, b), table in groups(batches, group):
+            width = 1 << max(0, dim - 1).bit_length()
+            part = block_slices(width, blocks)[block]
+            own = np.frombuffer(b"".join(table.column("own").to_pylist()), np.float32).reshape(table.num_rows, -1)
+            near = have_partners(own, table.column("home").to_numpy(), sides(table, a, b), budget(part, width, threshold))
+            yield from table.filter(pa.array(near)).select([*group, "chunk", "home", "cid"]).to_batches()
+
+    # Who is near another on the block: an entry of a cell, not a pair.
+    near = materialize(in_order(met).mapInArrow(sift, f"label {label_type}, dim int, block int, cell bigint, a int, b int, chunk int, home boolean, cid bigint"), "near")
+    dealt = in_order(near.join(classes.select("cid", "members", "vector"), "cid"))
 
-        def done() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            a, b = key[-2:]
-            side = np.zeros(table.num_rows, np.int8) if a == b else np.where(table.column("chunk").to_numpy() == a, 1, 2)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, block, _, a, b), table in groups(batches, group):
             cid = table.column("cid").to_numpy()
-            gained, root = compare(matrix(table.column("vector").combine_chunks()), table.column("home").to_numpy(), side, key[2], blocks, threshold, table.column("members").to_numpy())
+            gained, root = compare(matrix(table.column("vector").combine_chunks()), table.column("home").to_numpy(), sides(table, a, b), block, blocks, threshold, table.column("members").to_numpy())
             some = np.flatnonzero(gained > 0)
-            return pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(cid[root[some]]), pa.array(gained[some])], ["u", "v", "gained"])
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in group]
-            keys = list(zip(*columns, strict=True))
-            start = 0
-            while start < len(keys):
-                end = start
-                while end < len(keys) and keys[end] == keys[start]:
-                    end += 1
-                if held and keys[start] != key:
-                    yield done()
-                    held = []
-                key = keys[start]
-                held.append(batch.slice(start, end - start))
-                start = end
-        if held:
-            yield done()
+            yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(cid[root[some]]), pa.array(gained[some])], ["u", "v", "gained"])
 
     found = materialize(dealt.mapInArrow(work, "u bigint, v bigint, gained bigint"), "links")
     gained = found.groupBy(F.col("u").alias("cid")).agg(F.sum("gained").alias("gained"))
-    groups = components(found.where("u <> v"))
-    named = classes.select("cid", "first", "members", "k1", "k2").join(gained, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
+    linked = components(found.where("u <> v"))
+    named = classes.select("cid", "first", "members", "k1", "k2").join(gained, "cid", "left").join(linked.withColumnRenamed("node", "cid"), "cid", "left")
     named = materialize(named.withColumn("component", F.coalesce("component", "cid")), "named")
     least = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "least")
     named = named.join(least, "component").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), (F.col("members") - 1 + F.coalesce("gained", F.lit(0))).alias("links"), "component_id")
