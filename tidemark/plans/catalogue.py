@@ -245,24 +245,10 @@ def except_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.except_diff(*v_windows(spark, sf_dir))
 
 
-R1 = [("id", "int", 1), ("name", "nvarchar(50)", 2), ("region", "nvarchar(50)", 3)]
-R3 = [("id", "int", 1), ("name", "nvarchar(100)", 2), ("signup_date", "datetime2", 3), ("loyalty_tier", "int", 4)]
-
-
 def values_sql(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
 
 
-@query(
-    f"""SELECT * FROM (SELECT CASE WHEN a.name IS NULL THEN 'add' WHEN b.name IS NULL THEN 'drop' WHEN a.type <> b.type THEN 'retype' END AS kind,
-  coalesce(a.name, b.name) AS name, a.type AS before_type, b.type AS after_type, CAST(coalesce(b.o, a.o) AS BIGINT) AS position
-  FROM {values_sql(R1)} a(name, type, o) FULL OUTER JOIN {values_sql(R3)} b(name, type, o) ON a.name = b.name) WHERE kind IS NOT NULL"""
-)
-def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = lambda rows: spark.createDataFrame(rows, "name string, type string, ordinal bigint")
-    return diff.schema_diff(make(R1), make(R3))
-
-
 @query(
     """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS st FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS st FROM orders WHERE o_orderkey % 4 <> 0)
 SELECT TIMESTAMP '2030-01-01 00:00:00' AS ts, coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'I' WHEN b.k IS NULL THEN 'D' ELSE 'U' END AS operation, CASE WHEN b.k IS NULL THEN a.st ELSE b.st END AS st
@@ -423,21 +409,47 @@ def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.catalog_listing(tables, columns, ["c_nationkey"], ["catalog_name"], "n_name", "c_custkey")
 
 
-CAPTURED = [("widget", "id", "INTEGER", 1), ("widget", "name", "TEXT", 2), ("widget", "price", "NUMERIC(10,2)", 3), ("widget", "payload", "BLOB", 4), ("gadget", "id", "INTEGER", 1), ("gadget", "shape", "POLYGON", 2)]
+#: Types that the captured columns below have in turn, and a capture of columns that the parts name: a table for each brand.
+COLUMN_TYPES = ["INTEGER", "TEXT", "NUMERIC(10,2)", "BLOB", "POLYGON", "REAL"]
+V_COLUMNS = "(SELECT p_brand AS table_name, 'c' || p_partkey AS column_name, (" + str(COLUMN_TYPES) + ")[p_size % 6 + 1] AS data_type, p_partkey AS o FROM part)"
+#: Two revisions of one table whose columns the parts name: some are added, some dropped, some of another type.
+V_BEFORE = f"(SELECT column_name AS name, data_type AS type, o FROM {V_COLUMNS} WHERE o % 3 <> 0)"
+V_AFTER = f"(SELECT column_name AS name, CASE WHEN o % 5 = 0 THEN 'REAL' WHEN o % 7 = 0 THEN 'VARCHAR' ELSE data_type END AS type, o FROM {V_COLUMNS} WHERE o % 4 <> 0)"
+
+
+def v_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*[F.lit(k) for k in COLUMN_TYPES])
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("table_name"), F.concat(F.lit("c"), "p_partkey").alias("column_name"), kinds[F.col("p_size") % 6].alias("data_type"), F.col("p_partkey").alias("o"))
+
+
+def revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    columns = v_columns(spark, sf_dir)
+    changed = F.when(F.col("o") % 5 == 0, "REAL").when(F.col("o") % 7 == 0, "VARCHAR").otherwise(F.col("data_type"))
+    name, order = F.col("column_name").alias("name"), F.col("o").alias("ordinal")
+    return columns.where("o % 3 <> 0").select(name, F.col("data_type").alias("type"), order), columns.where("o % 4 <> 0").select(name, changed.alias("type"), order)
+
+
+
+@query(
+    f"""SELECT * FROM (SELECT CASE WHEN a.name IS NULL THEN 'add' WHEN b.name IS NULL THEN 'drop' WHEN a.type <> b.type THEN 'retype' END AS kind,
+  coalesce(a.name, b.name) AS name, a.type AS before_type, b.type AS after_type, CAST(coalesce(b.o, a.o) AS BIGINT) AS position
+  FROM {V_BEFORE} a FULL OUTER JOIN {V_AFTER} b ON a.name = b.name) WHERE kind IS NOT NULL"""
+)
+def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.schema_diff(*revisions(spark, sf_dir))
 
 
-@query(f"SELECT data_type, count(*) AS n FROM {values_sql(CAPTURED)} v(table_name, column_name, data_type, o) GROUP BY data_type")
+@query(f"SELECT data_type, count(*) AS n FROM {V_COLUMNS} GROUP BY data_type")
 def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.distribution(spark.createDataFrame(CAPTURED, "table_name string, column_name string, data_type string, o int"), ["data_type"])
+    return profile.distribution(v_columns(spark, sf_dir), ["data_type"])
 
 
 @query(
-    f"""SELECT table_name, column_name, v.data_type, coalesce(sa_type, 'String') AS sa_type, coalesce(lake_type, 'varchar') AS lake_type FROM {values_sql(CAPTURED)} v(table_name, column_name, data_type, o)
+    f"""SELECT table_name, column_name, v.data_type, coalesce(sa_type, 'String') AS sa_type, coalesce(lake_type, 'varchar') AS lake_type FROM {V_COLUMNS} v
 LEFT JOIN {values_sql([(r.type_name.lower(), r.sa_type, r.lake_type) for r in registry_types.REFERENCE if r.dialect == "sqlite"])} t(type_name, sa_type, lake_type) ON t.type_name = lower(trim(split_part(v.data_type, '(', 1)))"""
 )
 def type_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captured = spark.createDataFrame(CAPTURED, "table_name string, column_name string, data_type string, o int")
-    return registry_types.resolve_columns(captured, "sqlite").select("table_name", "column_name", "data_type", "sa_type", "lake_type")
+    return registry_types.resolve_columns(v_columns(spark, sf_dir), "sqlite").select("table_name", "column_name", "data_type", "sa_type", "lake_type")
 
 
 @query("SELECT role, count(*) AS n FROM (SELECT 'table' AS role FROM orders UNION ALL SELECT 'pk' FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'fk' FROM orders WHERE o_custkey % 3 = 0) GROUP BY role")
@@ -514,9 +526,11 @@ def json_props_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("with_k"), F.sum(F.expr("try_cast(k AS bigint)")).alias("total"))
 
 
-@query("SELECT * FROM (VALUES ('t1', 1, 'id', 'int'), ('t1', 2, 'name', 'text'), ('t2', 1, 'a', 'real')) v(object_name, ordinal, member_name, data_type)")
+@query(f"SELECT table_name AS object_name, row_number() OVER (PARTITION BY table_name ORDER BY o) AS ordinal, column_name AS member_name, data_type FROM {V_COLUMNS}")
 def array_unnest_ordinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("t1", ["id", "name"], ["int", "text"]), ("t2", ["a"], ["real"])], "object_name string, names array<string>, types array<string>")
+    """Two arrays for each table, names and types, back as rows with their places."""
+    members = F.array_sort(F.collect_list(F.struct("o", "column_name", "data_type")))
+    rows = v_columns(spark, sf_dir).groupBy(F.col("table_name").alias("object_name")).agg(members.alias("m")).select("object_name", F.col("m.column_name").alias("names"), F.col("m.data_type").alias("types"))
     return fj.unzip_rows(rows, ["object_name"], {"names": "member_name", "types": "data_type"})
 
 
@@ -572,25 +586,22 @@ def essence_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return essence.projection(star(), "d", "line", lambda name: table(spark, sf_dir, name), moment("1996-01-01"))
 
 
-@query(f"SELECT table_name, substr(sha256('[' || string_agg('[\"' || column_name || '\",\"' || data_type || '\"]', ',' ORDER BY o) || ']'), 1, 16) AS fingerprint FROM {values_sql(CAPTURED)} v(table_name, column_name, data_type, o) GROUP BY table_name")
+@query(f"SELECT table_name, substr(sha256('[' || string_agg('[\"' || column_name || '\",\"' || data_type || '\"]', ',' ORDER BY o) || ']'), 1, 16) AS fingerprint FROM {V_COLUMNS} GROUP BY table_name")
 def schema_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captured = spark.createDataFrame(CAPTURED, "table_name string, column_name string, data_type string, o int")
-    return registry.fingerprints(captured, ["table_name"], "column_name", "data_type", "o")
+    return registry.fingerprints(v_columns(spark, sf_dir), ["table_name"], "column_name", "data_type", "o")
 
 
-@query(f"SELECT table_name, string_agg('\"' || column_name || '\" ' || data_type, ', ' ORDER BY o) AS ddl FROM {values_sql(CAPTURED)} v(table_name, column_name, data_type, o) GROUP BY table_name")
+@query(f"SELECT table_name, string_agg('\"' || column_name || '\" ' || data_type, ', ' ORDER BY o) AS ddl FROM {V_COLUMNS} GROUP BY table_name")
 def table_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captured = spark.createDataFrame(CAPTURED, "table_name string, column_name string, data_type string, o int")
-    return codegen.table_ddl(captured, ["table_name"], order="o")
+    return codegen.table_ddl(v_columns(spark, sf_dir), ["table_name"], order="o")
 
 
 @query(
-    f"""SELECT coalesce(a.name, b.name) AS name, a.type AS expected_type, b.type AS actual_type, CASE WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'extra' ELSE 'family' END AS problem
-FROM {values_sql([r[:2] for r in R1])} a(name, type) FULL OUTER JOIN {values_sql([("id", "bigint"), ("name", "int"), ("extra", "text")])} b(name, type) ON a.name = b.name WHERE a.name IS NULL OR b.name IS NULL OR a.name = 'name'"""
+    f"""SELECT * FROM (SELECT coalesce(a.name, b.name) AS name, a.type AS expected_type, b.type AS actual_type, CASE WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'extra' WHEN coalesce(x.f, a.type) <> coalesce(y.f, b.type) THEN 'family' END AS problem
+FROM {V_BEFORE} a FULL OUTER JOIN {V_AFTER} b ON a.name = b.name LEFT JOIN {values_sql(sorted(registry_types.family_map().items()))} x(t, f) ON x.t = a.type LEFT JOIN {values_sql(sorted(registry_types.family_map().items()))} y(t, f) ON y.t = b.type) WHERE problem IS NOT NULL"""
 )
 def column_set_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = lambda rows: spark.createDataFrame(rows, "name string, type string")
-    return diff.column_set_compare(make([r[:2] for r in R1]), make([("id", "bigint"), ("name", "int"), ("extra", "text")]), registry_types.family_map() | {"nvarchar(50)": "string"})
+    return diff.column_set_compare(*revisions(spark, sf_dir), registry_types.family_map())
 
 
 VERSIONED = f"(SELECT k, seq AS begin_snapshot, value, end_snapshot FROM (SELECT k, seq, op, value, lead(seq) OVER (PARTITION BY k ORDER BY seq) AS end_snapshot FROM {V_BACKLOG}) WHERE op <> 'D')"

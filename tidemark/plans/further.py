@@ -330,9 +330,12 @@ def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("lang", "source").distinct()
 
 
-@query("SELECT CAST(i AS BIGINT) AS i FROM range(10000) t(i)")
+@query("SELECT i FROM generate_series(0, (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F')) t(i) WHERE i NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def sequence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relate.sequence(spark, 10_000)
+    """The numbers that the keys of finished orders leave out, of the sequence up to the last one."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    last = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    return relate.sequence(spark, last + 1).join(orders, F.col("i") == F.col("o_orderkey"), "left_anti")
 
 
 @query("SELECT max(text) AS greatest FROM conversations")
