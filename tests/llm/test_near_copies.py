@@ -130,7 +130,7 @@ def test_near_roots_equal_brute_force(short):
     bits = bases[rng.integers(0, 40, 400)]
     for _ in range(27):  # up to 27 of 192 bits of each entry turned over
         bits[np.arange(400), rng.integers(0, 3, 400)] ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
-    key, size = np.sort(rng.integers(0, 12, 400)).astype(np.int32), rng.integers(4, 10, 400).astype(np.int32)
+    key, size = np.sort(rng.integers(0, 12, 400)).astype(np.int32), rng.integers(4, 12, 400).astype(np.int32)
     root = list(range(400))
 
     def find(x):
@@ -141,7 +141,7 @@ def test_near_roots_equal_brute_force(short):
     alone = set(range(400))
     for i in range(400):
         for j in range(i):
-            if key[i] == key[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and np.bitwise_count(bits[i] ^ bits[j]).sum() <= nearcopies.CARRIED[bool(min(size[i], size[j]) <= nearcopies.SMALL)]:
+            if key[i] == key[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and np.bitwise_count(bits[i] ^ bits[j]).sum() <= (0 if size[i] == size[j] < 9 else nearcopies.CARRIED[bool(min(size[i], size[j]) <= nearcopies.SMALL)]):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
                 alone -= {i, j}
@@ -185,3 +185,23 @@ def test_names_of_helpers_may_clash(spark):
         kept = simhash.keep_one(docs, shingle=5, similarity=similarity)
         assert kept.columns == docs.columns
         assert sorted(r["kept_id"] for r in kept.collect()) == [0, 2, 3]
+
+
+def test_sizes_below_nine_link_their_equals_only():
+    """The arithmetic behind one key for tiny texts and no differing bit for small ones of one size."""
+    for a in range(1, 20):
+        for b in range(a, 25):
+            best = max((i / (a + b - i) for i in range(a + 1) if not (a == b == i)), default=0)
+            if a <= nearcopies.ALONE or (a == b and a < nearcopies.EQUAL):
+                assert best < 0.8 or a != b and a > nearcopies.ALONE
+    assert 8 / 10 >= 0.8 and 3 / 4 < 0.8 and 4 / 5 >= 0.8
+
+
+def test_short_texts_by_the_thousand(spark):
+    """Unrelated texts of two and four shingles, whose bits are alike, don't meet; their equals do."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in (5, 6, 8, 10) for _ in range(1500)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *(t.upper() for t in texts[:3000:30])])], "doc_id int, text string").selectExpr("doc_id", "xxhash64(text) AS text_hash", "text")
+    posted = nearcopies.postings(nearcopies.signatures(docs)).collect()
+    assert {r["text_hash"] for r in posted} == {r["text_hash"] for r in docs.collect() if r["doc_id"] >= 6000 or r["doc_id"] in range(0, 3000, 30)}
+    assert sum(r["size"] <= 2 for r in posted) == 200

@@ -6,11 +6,14 @@ Two texts are linked if their sets of five-word shingles have a similarity of 0.
 * Fingerprint: 2,560 bits (320 positional bytes), each the majority over a text's distinct shingles.
 * Index: a text is posted under each two neighbouring bytes, with their position: 160 keys of 16 bits. A pair of
   similarity 0.8 shares a key with probability 0.072 and misses all with 6e-6; a closer pair more rarely still.
-  Ties make texts of at most 5 shingles differ in up to 19 % of the bits, so they have 480 keys.
+  Ties make texts of 4 and 5 shingles differ in up to 19 % of the bits, so they have 480 keys. Texts of up to 3 are similar
+  to none but those of the same shingles, so they have one key, made of the carried bits.
 * Postings carry the number of shingles and 192 bits of the fingerprint that no key uses, so that a shared key says nothing
   about them. Who is near no other member of a list leaves it: near is within 54 bits, which a pair of similarity 0.8
   exceeds with probability 1e-6 and two unrelated texts reach with 6e-10; for texts of at most 5 shingles within 62 (one of
-  4 and 5 exceeds that with 2e-6). Chance pairs of n texts of one length are then some 1.4e-12 n an entry's text.
+  4 and 5 exceeds that with 2e-6). Texts of one size below 9 are similar only if they are equal, and must have no bit
+  different: ties make bits of even sizes rarer, and unrelated ones alike. Chance pairs of n texts of one size are then
+  some 1.4e-12 n a text.
 * Count filter: pairs of what remains that share fewer than 44 of 320 positional bytes are cut (86 are expected at 0.8).
 * Verification: pairs that differ in more than 500 bits are cut (388 are expected at 0.8), of the others the whole
   shingle sets are compared; a spanning forest of the links is emitted, never all pairs.
@@ -19,7 +22,8 @@ Texts that near pairs connect are a cluster and meet once, not list by list; onl
 shingles are compared by their lists. A list or cluster that is large is dealt into chunks, and each chunk also
 gets some 32 members of the whole. Members that are then in another component than most meet every chunk in a second
 round, so all pairs that are not connected yet are compared: nothing is capped, and a list of near copies costs its
-length, not the square. Comparisons by the carried bits grow with the square of the texts over 65,536.
+length, not the square. Comparisons by the carried bits grow with the square of the texts over 65,536: a list of the
+160 positions has that share of the texts, and is compared whole up to ``LONG`` entries, which is 69 billion texts.
 
 Edge cases: texts without a word are copies of each other; a text of fewer than five words is one shingle;
 rows with a null id take part; repeated rows give one row; of very long texts the hashes are held, not the shingles.
@@ -43,6 +47,8 @@ from tidemark.session import discard, materialize
 SHINGLE, SEED = 5, 42
 #: Keys of two positional bytes each, shingles up to which a text has more of them, and how many times as many.
 KEYS, SMALL, MORE = 160, 5, 3
+#: Sizes up to which only equal sets are similar, and below which sets of one size are only if they are equal.
+ALONE, EQUAL = 3, 9
 #: Numbers of 64 bits that a posting carries.
 WORDS = 3
 #: Cuts, for texts above ``SMALL`` and others: differing bits of those that a posting carries; shared positional bytes and
@@ -51,8 +57,8 @@ CARRIED, SHARED, DIFFERING = (54, 62), (44, 20), (500, 620)
 PIVOTS = 32
 #: Positions whose lists are compared first.
 FIRST = 32
-#: Entries of a list that are held at once; a longer list keeps all its members.
-LONG = 1 << 16
+#: Entries of a list that are held at once, of some 50 bytes; a longer list keeps all its members.
+LONG = 1 << 20
 #: A mask and a multiplier for each 64 bits of a fingerprint.
 MASKS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, MORE * KEYS // 4), np.uint64) | np.uint64(1)
 OWN_MASKS, OWN_FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 64, (2, WORDS), np.uint64) | np.uint64(1)
@@ -99,8 +105,11 @@ def carried_bits(shingles: np.ndarray) -> np.ndarray:
     return majorities(shingles, OWN_MASKS, OWN_FACTORS).view(np.int64)
 
 
-def position_keys(print_: np.ndarray) -> np.ndarray:
-    """Each two neighbouring bytes, with their position."""
+def position_keys(print_: np.ndarray, carried: np.ndarray, size: int) -> np.ndarray:
+    """Each two neighbouring bytes, with their position; of a text that only its equals are similar to, one key below those."""
+    if size <= ALONE:
+        mixed = np.bitwise_xor.reduce(carried.view(np.uint64) * OWN_FACTORS) * np.uint64(0x9E3779B97F4A7C15)
+        return np.array([-1 - int(mixed >> np.uint64(34))], np.int32)
     pairs = print_.view(np.uint16)
     return (np.arange(len(pairs), dtype=np.int32) << 16) | pairs
 
@@ -118,7 +127,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 carried.append(carried_bits(shingles))
             bits = np.array(carried, np.int64).reshape(-1, WORDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int32()), *(pa.array(bits[:, i]) for i in range(WORDS)), pa.array([position_keys(x) for x in prints], pa.list_(pa.int32()))],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int32()), *(pa.array(bits[:, i]) for i in range(WORDS)), pa.array([position_keys(*x) for x in zip(prints, carried, sizes, strict=True)], pa.list_(pa.int32()))],
                 ["doc_id", "text_hash", "size", "a", "b", "c", "keys"],
             )
 
@@ -135,7 +144,9 @@ def near_roots(key: np.ndarray, size: np.ndarray, carried: list[np.ndarray], sho
 
     def near(some: np.ndarray, others: np.ndarray) -> np.ndarray:
         fits = (5 * size[some] >= 4 * size[others]) & (5 * size[others] >= 4 * size[some])
-        return fits & (sum(np.bitwise_count(w[some] ^ w[others]) for w in words) <= np.maximum(most[some], most[others]))
+        apart = sum(np.bitwise_count(w[some] ^ w[others]) for w in words)
+        equal = (size[some] == size[others]) & (size[some] < EQUAL)
+        return fits & (apart <= np.where(equal, 0, np.maximum(most[some], most[others])))
 
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.append(starts[1:], len(key))
@@ -179,7 +190,7 @@ def near_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A list that batches share is carried over; one of more than ``LONG`` entries passes whole, as if all were near.
     """
     names = ("key", "text_hash", "size", "a", "b", "c")
-    held, whole, first = None, -1, 0  # whole: the key of the last list that passes whole; first: its first text hash
+    held, whole, first = None, 1 << 40, 0  # whole: the key of the last list that passes whole; first: its first text hash
 
     def kept(columns: list[np.ndarray]) -> pa.RecordBatch:
         passes = columns[0] == whole
