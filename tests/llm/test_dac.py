@@ -58,10 +58,12 @@ def test_one_token_reads_few_bytes():
     assert source.taken - before < 4 * (1 + 64 + 8 + 1)
 
 
+TOKENIZER = Tokenizer.from_file(VOCABULARY)
+TOKENIZER.encode_special_tokens = True
+
+
 def slow_ids(text):
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
 def odd_texts():
