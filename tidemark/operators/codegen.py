@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,29 @@ def fill(templates: DataFrame, values: DataFrame, name: str = "name", template:
     joined = templates.join(values, name)
     filled = F.aggregate(F.map_entries(value), F.col(template), lambda text, e: F.replace(text, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
     return joined.withColumn("location", filled)
+
+
+def execute_rows(spark: SparkSession, rows: DataFrame, template: str, order: list[str], error: str = "raise") -> list[dict]:
+    """Run the statement that each registry row asks for, in order; the rows are a control plane's.
+
+    ``template`` has ``{column}`` slots for names, which are quoted with backquotes if they are no plain identifiers,
+    ``'{column}'`` slots for literals, whose quotes are escaped, and ``:column`` marks for values that are bound. Returns row, statement and outcome;
+    with ``error="keep"`` a statement that fails is reported and the next one runs.
+    """
+    slots, marks = list(dict.fromkeys(re.findall(r"\{(\w+)\}", template))), set(re.findall(r"(?<![:\w]):(\w+)", template))
+    out = []
+    for row in rows.orderBy(*order).collect():
+        held = row.asDict()
+        text = template
+        for slot in slots:
+            name = str(held[slot])
+            text = text.replace("'{" + slot + "}'", "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'")
+            text = text.replace("{" + slot + "}", name if name.isidentifier() else "`" + name.replace("`", "``") + "`")
+        try:
+            spark.sql(text, args={m: held[m] for m in marks})
+            out.append({"row": held, "statement": text, "outcome": "done"})
+        except Exception as problem:
+            if error == "raise":
+                raise
+            out.append({"row": held, "statement": text, "outcome": type(problem).__name__})
+    return out

@@ -155,3 +155,22 @@ def table_types(columns: DataFrame, resolve: object, table: str = "table_name",
     for row in sorted(rows, key=lambda r: (r[table], r["o"], r[name])):
         out.setdefault(row[table], []).append(T.StructField(row[name], resolve(row[kind])))
     return {t: T.StructType(fields) for t, fields in out.items()}
+
+
+def foreign_keys(constraints: DataFrame) -> DataFrame:
+    """Rows of the role ``fk``: each referencing column with the column that it stands for, composite keys place by place.
+
+    ``constraints`` has a row for each column of each constraint: schema_name, constraint_name, constraint_type (PRIMARY KEY,
+    UNIQUE or FOREIGN KEY), table_name, column_name, ordinal, and for foreign keys unique_constraint_name,
+    position_in_unique_constraint and delete_rule.
+    """
+    keys = constraints.where(F.col("constraint_type") != "FOREIGN KEY").select(
+        "schema_name", F.col("constraint_name").alias("unique_constraint_name"), F.col("ordinal").alias("position_in_unique_constraint"), F.col("table_name").alias("referenced_object"), F.col("column_name").alias("referenced_member")
+    )
+    found = constraints.where("constraint_type = 'FOREIGN KEY'").drop("referenced_object", "referenced_member").join(keys, ["schema_name", "unique_constraint_name", "position_in_unique_constraint"])
+    return union_roles(
+        found.select(
+            "schema_name", F.col("table_name").alias("object_name"), F.lit("table").alias("container_kind"), F.lit("fk").alias("grouping_kind"), F.col("constraint_name").alias("grouping_name"),
+            F.col("column_name").alias("member_name"), "ordinal", "referenced_object", "referenced_member", F.col("delete_rule").alias("on_delete"),
+        )
+    )

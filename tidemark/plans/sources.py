@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import extract, text
 from tidemark.functions import json as fj
-from tidemark.operators import access, codegen, essence, migrate, properties, provenance
+from tidemark.operators import access, codegen, essence, migrate, properties, provenance, registry, requests
 from tidemark.plans.catalogue import LINES, V_COLUMNS, query, star, table, v_columns
 from tidemark.session import scratch_path
 from tidemark.sources import databases, files, lake
@@ -242,3 +242,48 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").cast("timestamp").alias("day"), "user_id", "event_type", "ts")
     found = windowed(spark, state.first_seen(replay(events, "ts").drop("ts"), ["user_id", "event_type"], "day", "60 days"))
     return found.select("user_id", "event_type", F.col("day").cast("timestamp_ntz").alias("day"))
+
+
+# Constraints, statements and requests
+
+
+@query("SELECT DISTINCT p_type AS object_name, p_type || '_' || p_brand AS grouping_name, member_name, CAST(ordinal AS BIGINT) AS ordinal, p_brand AS referenced_object, referenced_member FROM part, (VALUES ('a', 1, 'k2'), ('b', 2, 'k1')) AS v(member_name, ordinal, referenced_member)")
+def composite_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Referencing columns and what they stand for, of keys of two columns that are referenced in the other order."""
+    parts = table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
+    cell = lambda *v: F.struct(*[F.lit(x).alias(n) for x, n in zip(v, ("column_name", "ordinal", "position_in_unique_constraint"), strict=True)])
+    keys = parts.select(F.col("p_brand").alias("table_name")).distinct().select("table_name", F.concat(F.lit("pk_"), "table_name").alias("constraint_name"), F.lit("PRIMARY KEY").alias("constraint_type"), F.lit(None).cast("string").alias("unique_constraint_name"), F.lit(None).cast("string").alias("delete_rule"), F.explode(F.array(cell("k1", 1, None), cell("k2", 2, None))).alias("c"))
+    references = parts.select(F.col("p_type").alias("table_name"), F.concat_ws("_", "p_type", "p_brand").alias("constraint_name"), F.lit("FOREIGN KEY").alias("constraint_type"), F.concat(F.lit("pk_"), "p_brand").alias("unique_constraint_name"), F.lit("NO ACTION").alias("delete_rule"), F.explode(F.array(cell("a", 1, 2), cell("b", 2, 1))).alias("c"))
+    shape = lambda rows: rows.select(F.lit("main").alias("schema_name"), "table_name", "constraint_name", "constraint_type", "unique_constraint_name", "delete_rule", "c.column_name", F.col("c.ordinal").cast("bigint").alias("ordinal"), F.col("c.position_in_unique_constraint").cast("bigint").alias("position_in_unique_constraint"))
+    found = registry.foreign_keys(shape(keys).unionByName(shape(references)))
+    return found.select("object_name", "grouping_name", "member_name", "ordinal", "referenced_object", "referenced_member")
+
+
+@query("SELECT event_type AS kind, 'events of ' || event_type AS view_name, count(*) AS n FROM events GROUP BY event_type")
+def statements_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view for each row of a registry, made by the statement that the row asks for, and read."""
+    events = table(spark, sf_dir, "events")
+    events.createOrReplaceTempView("statement_events")
+    rows = events.select(F.col("event_type").alias("kind")).distinct().withColumn("view_name", F.concat(F.lit("events of "), "kind"))
+    made = codegen.execute_rows(spark, rows, "CREATE OR REPLACE TEMPORARY VIEW {view_name} AS SELECT * FROM statement_events WHERE event_type = '{kind}'", ["kind"])
+    found: DataFrame | None = None
+    for each in made:
+        some = spark.table(f"`{each['row']['view_name']}`").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).withColumn("view_name", F.lit(each["row"]["view_name"]))
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+@query(
+    """WITH r AS (SELECT 'http://h/' || user_id AS url, ts, event_id, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS code FROM events),
+g AS (SELECT url, max(CASE WHEN code = 200 THEN ts END) AS good, max(CASE WHEN code = 200 THEN event_id END) AS good_id FROM r GROUP BY url),
+f AS (SELECT r.url, count(*) AS failures FROM r JOIN g USING (url) WHERE code = 500 AND (g.good IS NULL OR r.ts > g.good OR (r.ts = g.good AND r.event_id > g.good_id)) GROUP BY r.url)
+SELECT url, reason FROM (SELECT g.url, CASE WHEN coalesce(failures, 0) > 0 AND failures < 3 THEN 'failed' WHEN coalesce(failures, 0) = 0 AND good < (SELECT max(ts) FROM events) - INTERVAL 6 HOUR THEN 'stale' END AS reason FROM g LEFT JOIN f USING (url)) WHERE reason IS NOT NULL"""
+)
+def requests_to_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a log of requests says must be fetched again: failures, and responses that are too old."""
+    log = requests.RequestLog(Lake(spark, scratch_path(spark, "lake")).init()).create()
+    events = table(spark, sf_dir, "events")
+    code = F.when(F.col("event_type") == "error", 500).otherwise(200)
+    log.record(events.select(F.concat(F.lit("http://h/"), "user_id").alias("request_url"), F.lit("GET").alias("request_method"), code.alias("response_status_code"), F.col("ts").cast("timestamp_ntz").alias("requested_at"), F.col("event_id").alias("seq")))
+    now = F.lit(events.agg(F.max(F.col("ts").cast("timestamp_ntz"))).first()[0])
+    return log.due(now, 6 * 3600).select(F.col("request_url").alias("url"), "reason")
