@@ -34,6 +34,8 @@ BREAK = b"."
 FOLD = bytes.maketrans((UPPER + MARKS).encode(), LOWER.encode() + BREAK * len(MARKS))
 #: Keys that a task sorts at once, and that a range holds about.
 RUN_KEYS, RANGE_KEYS = 4 << 20, 8 << 20
+#: Scores of a band, of the 1,000,001 that there are.
+BAND = 64
 #: Odd numbers that spread keys.
 SPREAD, SPREAD_LOW = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -291,7 +293,12 @@ def collocations(docs: DataFrame, least: int = 10, most: int = 2000, covered: in
     phrases = phrases.withColumn("n2", exact("n"))
     lowest = F.when(F.col("c") == 0, cut(1, "n_a", "n_b")).otherwise(F.least(cut(1, "n_a", "back"), cut(2, "front", "n_c")))
     scored = phrases.select("lang", F.concat_ws(" ", "word_a", "word_b", "word_c").alias("phrase"), F.col("n").alias("a"), lowest.alias("cut"))
-    scored = scored.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    scored = materialize(scored.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", F.floor(F.col("cut.score") / BAND).alias("band")), "scored")
+    # Only bands of scores with fewer than ``most`` phrases above them are ranked, so a language is no hot task.
+    bands = scored.groupBy("lang", "band").agg(F.count(F.lit(1)).alias("held"))
+    higher = Window.partitionBy("lang").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = bands.withColumn("above", F.coalesce(F.sum("held").over(higher), F.lit(0))).where(F.col("above") < most)
+    scored = materialize(scored.join(wanted.select("lang", "band"), ["lang", "band"]), "ranked")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     best = scored.withColumn("rank", rank).where(F.col("rank") <= most).join(totals, "lang")
     return best.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
