@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,7 +179,9 @@ SELECT x.lang, x.rank, x.phrase, x.a, x.l, x.r, n.n, x.score FROM ranked x JOIN
 
 @query
 def op12_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dac.token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    import public_tokenizers as public
+
+    return dac.token_round_trip(table(spark, sf_dir, "documents"), public.path("word_bpe_49k.json"), end_id=2)
 
 
 @query
