@@ -34,10 +34,24 @@ def deletes(op: str | None) -> Column:
     return F.lit(False) if op is None else F.col(op).isin(*DELETE_OPS)
 
 
-def backlog_intervals(log: DataFrame, keys: list[str], tt: str, seq: str, op: str | None = None) -> DataFrame:
-    """Intervals of a backlog: each image holds until the key's next; a delete ends one and begins none."""
-    order = Window.partitionBy(*keys).orderBy(tt, seq)
-    bounded = log.withColumn("tt_start", F.col(tt)).withColumn("tt_end", F.lead(tt).over(order))
+def backlog_intervals(log: DataFrame, keys: list[str], tt: str, seq: str, op: str | None = None, stretch: str | int | None = None) -> DataFrame:
+    """Intervals of a backlog: each image holds until the key's next; a delete ends one and begins none.
+
+    ``stretch`` (a calendar unit, or a width for numbers) cuts a key's time into tasks of their own, so that a key with a third of
+    all images is spread out; where a stretch ends, the next one's first time comes from one row for each key and stretch.
+    """
+    begun = log.withColumn("tt_start", F.col(tt))
+    if stretch is None:
+        bounded = begun.withColumn("tt_end", F.lead(tt).over(Window.partitionBy(*keys).orderBy(tt, seq)))
+    else:
+        part = F.date_trunc(stretch, tt) if isinstance(stretch, str) else F.floor(F.col(tt) / stretch)
+        cut = begun.withColumn("__part", part)
+        firsts = cut.groupBy(*keys, "__part").agg(F.min(tt).alias("__first"))
+        following = firsts.withColumn("__next", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__part"))).drop("__first")
+        same = following.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__part"])], "__next")
+        inside = cut.withColumn("tt_end", F.lead(tt).over(Window.partitionBy(*keys, "__part").orderBy(tt, seq)))
+        on = [inside[k].eqNullSafe(same[f"__k{i}"]) for i, k in enumerate([*keys, "__part"])]
+        bounded = inside.join(same, on).withColumn("tt_end", F.coalesce("tt_end", "__next")).drop("__part", "__next", *[f"__k{i}" for i in range(len(keys) + 1)])
     return bounded.where(~F.coalesce(deletes(op), F.lit(False))) if op else bounded
 
 
