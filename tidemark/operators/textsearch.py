@@ -13,6 +13,8 @@ from tidemark.session import materialize
 from tidemark.sources.lake import Lake
 
 SEPARATORS = r"[^a-z0-9\x80-￿]+"
+#: A character of a word, in either case (patterns that ignore case do so for A-Z alone), and no half of a pair.
+INSIDE = r"[A-Za-z0-9\x80-\uD7FF\uE000-\uFFFF]"
 
 
 def terms(text: Column) -> Column:
@@ -27,13 +29,18 @@ def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def search(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """key, hits: rows that have every word of the query, with how often they have any. A scan that needs no index."""
+    """key, hits: rows that have every word of the query, with how often they have any. A scan that needs no index.
+
+    Words are counted where they stand, so no text is cut into all of its words.
+    """
     wanted = sorted({t for t in query.lower().split() if t})
-    found = docs.select(key, terms(F.col(text)).alias("terms"))
-    for term in wanted:
-        found = found.where(F.array_contains("terms", term))
-    hits = F.size(F.filter("terms", lambda t: t.isin(*wanted))) if wanted else F.lit(0)
-    return found.select(key, hits.cast("bigint").alias("hits"))
+    if not wanted:
+        return docs.select(key, F.lit(0).cast("bigint").alias("hits"))
+    if any(words_of(t) != [t] for t in wanted):  # no word of a text has a separator in it
+        return docs.select(key, F.lit(0).cast("bigint").alias("hits")).where(F.lit(False))
+    counts = [F.regexp_count(F.col(text), F.lit(f"(?i)(?<!{INSIDE}){re.escape(t)}(?!{INSIDE})")) for t in wanted]
+    found = docs.select(key, F.array(*counts).alias("counts")).where(F.forall("counts", lambda n: n > 0))
+    return found.select(key, F.aggregate("counts", F.lit(0).cast("bigint"), lambda total, n: total + n).alias("hits"))
 
 
 def search_index(index: DataFrame, key: str, query: str) -> DataFrame:
