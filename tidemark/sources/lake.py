@@ -137,14 +137,20 @@ def from_text(column: Column, kind: T.DataType) -> Column:
 
 
 def column_statistics(files: DataFrame, ids: dict[str, int]) -> DataFrame:
-    """path, column_id, value_count, null_count, min_value, max_value, column_size_bytes: from footers, read by the tasks."""
+    """path, column_id, value_count, null_count, min_value, max_value, column_size_bytes: from footers, read by the tasks.
+
+    A file in a store that only Spark reads has no statistics, so it is opened by every read.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                fs, place = pafs.FileSystem.from_uri(path)
-                with fs.open_input_file(place) as source:
-                    footer = pq.read_metadata(source)
+                try:
+                    fs, place = pafs.FileSystem.from_uri(path)
+                    with fs.open_input_file(place) as source:
+                        footer = pq.read_metadata(source)
+                except (OSError, ValueError, NotImplementedError):
+                    continue
                 held: dict[str, list] = {}
                 for group in range(footer.num_row_groups):
                     for i in range(footer.num_columns):
