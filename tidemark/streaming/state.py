@@ -66,54 +66,62 @@ def first_seen(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataF
 class RetainedKeys(StatefulProcessor):
     """Rows of each key in the order of their times, changed ones only, and a notice when a key has been silent too long.
 
-    Rows wait in state, one entry for each (time, order), until the watermark has passed them; a timer then takes them in
-    order, whatever order they came in. Values are held as they are, under their own types. ``retention`` after a
-    key's last row its state goes and an ``expired`` row asks for a resync: the next row counts as new.
+    A key's rows wait in state until the watermark has passed them and are then taken in order, whatever order they came
+    in: when the key has rows again, or at a timer. All of a key's state is one value, and one timer is set at most, so a batch
+    costs a key a few calls of state and not some for each row. Values are held as they are, under their own types.
+    ``retention`` after a key's last row its state goes and an ``expired`` row asks for a resync: the next row counts as new.
     """
 
-    def __init__(self, names: list[str], kinds: T.StructType, at: str, order: str, values: list[str], retention_ms: int) -> None:
-        self.names, self.kinds, self.at, self.order, self.values, self.retention = names, kinds, at, order, values, retention_ms
+    def __init__(self, names: list[str], kinds: T.StructType, at: str, order: str, values: list[str], retention: dt.timedelta) -> None:
+        self.names, self.kinds, self.at, self.order, self.values, self.retention = names, kinds, at, order, values, retention // dt.timedelta(microseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        held = T.StructType([self.kinds[self.at], self.kinds[self.order], *(self.kinds[v] for v in self.values)])
-        place = T.StructType([T.StructField("millis", T.LongType()), T.StructField("place", T.StringType())])
-        self.waiting = handle.getMapState("waiting", place, held)
-        self.last = handle.getValueState("last", held)
+        row = T.StructType([self.kinds[self.at], self.kinds[self.order], *(self.kinds[v] for v in self.values)])
+        self.held = handle.getValueState("held", T.StructType([T.StructField("timer", T.LongType()), T.StructField("last", row), T.StructField("waiting", T.ArrayType(row))]))
 
-    def millis(self, at: dt.datetime) -> int:
-        """Whole milliseconds from which on a time has passed."""
-        return -(-round(at.timestamp() * 1_000_000) // 1000)
+    def micros(self, at: dt.datetime) -> int:
+        return round(at.timestamp() * 1_000_000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timer: object) -> Iterator[Row]:
-        for row in rows:
-            at = self.millis(row[self.at])
-            # Places are held as text of fixed width, so that entries sort as their order columns do.
-            self.waiting.updateValue((at, f"{row[self.order]:020d}"), tuple(row[c] for c in (self.at, self.order, *self.values)))
-            self.handle.registerTimer(at)
-        return iter(())
+        came = list(rows)
+        places = [came[0].__fields__.index(c) for c in (self.at, self.order, *self.values)]
+        return self.settle(key, [tuple(row[i] for i in places) for row in came], timer.getCurrentWatermarkInMs(), None)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N803 (names are the caller's)
-        # The watermark may have passed many times at once; timers set meanwhile would wait for another batch.
-        now, row_of = timerValues.getCurrentWatermarkInMs(), Row(*self.names)
-        last = tuple(self.last.get()) if self.last.exists() else None
-        for place in sorted(p for p in self.waiting.keys() if p[0] <= now):
-            row = tuple(self.waiting.getValue(place))
-            self.waiting.removeKey(place)
-            if last is not None and self.millis(last[0]) + self.retention <= place[0]:
+        return self.settle(key, [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+
+    def settle(self, key: tuple, came: list[tuple], mark: int, fired: int | None) -> Iterator[Row]:
+        now, row_of = mark * 1000, Row(*self.names)
+        timer, last, waiting = self.held.get() or (None, None, [])
+        last = tuple(last) if last is not None else None
+        then = self.micros(last[0]) if last is not None else 0
+        every = sorted(((self.micros(row[0]), tuple(row)) for row in (*waiting, *came)), key=lambda e: (e[0], e[1][1]))
+        rest = [e for e in every if e[0] > now]
+        for at, row in every[: len(every) - len(rest)]:
+            if last is not None and then + self.retention <= at:
                 yield row_of(*key, "expired", *last)
                 last = None
             if last is None or last[2:] != row[2:]:
                 yield row_of(*key, "change", *row)
-            last = row
-        if last is not None and self.millis(last[0]) + self.retention <= now:
+            last, then = row, at
+        if last is not None and then + self.retention <= now:
             yield row_of(*key, "expired", *last)
             last = None
-        if last is None:
-            self.last.clear()
+        # The next whole millisecond at which a row that waits has been passed, or the last one is too old.
+        due = [-(-at // 1000) for at in ([rest[0][0]] if rest else []) + ([then + self.retention] if last is not None else [])]
+        wanted = min(due, default=None)
+        if timer == fired:
+            timer = None
+        if timer != wanted:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        if wanted is None:
+            self.held.clear()
         else:
-            self.last.update(last)
-            self.handle.registerTimer(self.millis(last[0]) + self.retention)
+            self.held.update((wanted, last, [row for _, row in rest]))
 
     def close(self) -> None:
         pass
@@ -128,5 +136,5 @@ def retained_changes(stream: DataFrame, keys: list[str], at: str, order: str, va
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kinds = stream.select(*keys, at, order, *values).schema
     out = T.StructType([*(kinds[k] for k in keys), T.StructField("kind", T.StringType()), kinds[at], kinds[order], *(kinds[v] for v in values)])
-    processor = RetainedKeys(out.names, kinds, at, order, values, retention // dt.timedelta(milliseconds=1))
+    processor = RetainedKeys(out.names, kinds, at, order, values, retention)
     return stream.withWatermark(at, delay).groupBy(*keys).transformWithState(processor, out, "Append", "EventTime")
