@@ -64,3 +64,12 @@ def test_a_keys_rows_cost_few_calls_of_state():
     assert held.calls <= 8 and len(held.timers) == 1
     late = Timer(held.timers.pop())
     assert [(r["kind"], r["n"]) for r in found.handleExpiredTimer(("a",), late, late)] == [("expired", 101)] and held.value is None
+
+
+def test_a_change_filter_takes_rows_without_a_frame_for_each_key():
+    found, held = state.ChangeFilter(["at", "n"], ["v"]), Held()
+    found.init(held)
+    row = Row("at", "n", "v")
+    rows = [row(2, 1, "b"), row(None, 1, "c"), row(1, 2, None), row(1, 1, "a"), row(1, 3, None)]
+    assert [r["v"] for r in found.handleInputRows(("a",), iter(rows), None)] == ["a", None, "b", "c"]
+    assert list(found.handleInputRows(("a",), iter([row(3, 1, "c")]), None)) == [] and held.calls <= 3

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,19 +20,18 @@ class ChangeFilter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", T.StructType([T.StructField("values", T.StringType())]))
 
-    def handleInputRows(self, key: object, rows: Iterator[pd.DataFrame], timer: object) -> Iterator[pd.DataFrame]:
-        held = self.last.get()[0] if self.last.exists() else None
-        whole = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        keep = []
-        for values in whole[self.values].astype(object).itertuples(index=False, name=None):
-            text = repr(tuple(None if v is None or v != v else v for v in values))
-            keep.append(text != held)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer: object) -> Iterator[Row]:
+        state = self.last.get()
+        held = before = state[0] if state else None
+        whole = list(rows)
+        order, values = ([whole[0].__fields__.index(c) for c in names] for names in (self.order, self.values))
+        for row in sorted(whole, key=lambda r: [(False, r[c]) if r[c] is not None and r[c] == r[c] else (True,) for c in order]):
+            text = repr(tuple(None if row[c] is None or row[c] != row[c] else row[c] for c in values))
+            if text != held:
+                yield row
             held = text
-        if held is not None:
+        if held != before:
             self.last.update((held,))
-        passed = whole[keep]
-        if len(passed):
-            yield passed
 
     def close(self) -> None:
         pass
@@ -42,7 +40,7 @@ class ChangeFilter(StatefulProcessor):
 def changes_only(stream: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """A stream without the images that equal the key's last one. Needs the RocksDB state store."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return stream.groupBy(*keys).transformWithStateInPandas(ChangeFilter(order, values), stream.schema, "Append", "None")
+    return stream.groupBy(*keys).transformWithState(ChangeFilter(order, values), stream.schema, "Append", "None")
 
 
 def sessions(stream: DataFrame, keys: list[str], at: str, gap: str, delay: str) -> DataFrame:
