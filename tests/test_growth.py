@@ -3,13 +3,25 @@
 import datetime as dt
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.streaming import state
+from tidemark.streaming import replay, state
 
 START = dt.datetime(2026, 1, 1)
 
 
+def test_a_long_stretch_is_several_files_of_one_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(replay, "FILE_ROWS", 100)
+    monkeypatch.setattr(replay, "LEAST_ROWS", 20)
+    rows = spark.createDataFrame([(i, START + dt.timedelta(minutes=i)) for i in range(1000)], "n long, at timestamp")
+    seen = []
+    query = replay.replay(rows, "at", 3).writeStream.option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True)
+    query.foreachBatch(lambda batch, number: seen.append((batch.select(F.input_file_name()).distinct().count(), [r["n"] for r in batch.collect()]))).start().awaitTermination()
+    assert [files for files, _ in seen] == [4, 4, 4]
+    assert [n for _, some in seen for n in sorted(some)] == list(range(1000))
+
+
 class Held:
     """State of one key and its timers, with a count of calls."""
 
