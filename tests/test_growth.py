@@ -6,11 +6,38 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import textsearch
+from tidemark.sources import lake
 from tidemark.streaming import replay, state
 
 START = dt.datetime(2026, 1, 1)
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_index_grows_by_files_and_its_words_are_not_shuffled_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textsearch, "RANGE_ROWS", 20)
+    monkeypatch.setattr(textsearch, "BATCH_ROWS", 7)
+    store = lake.Lake(spark, f"file://{tmp_path}/lake").init()
+    index = textsearch.TextIndex(store, "docs", ["body"], "id")
+    rows = spark.createDataFrame([(i, f"w{i % 5} Zß\U0001f600x the, THE\x00-w{i % 7}", "U", 1) for i in range(40)] + [(None, "the", "U", 1), (90, None, "U", 1)], "id long, body string, __op string, __version long")
+    texts = rows.selectExpr("id AS key", "__version AS version", "body")
+    assert "Exchange" not in plan_of(index.posted(texts))
+    index.apply(rows, ranges=2)
+    assert store.list_files("docs_postings").count() > 4
+    wanted = textsearch.search(rows.where("id IS NOT NULL"), "id", "body", "the")
+    assert sorted(index.words("the").collect()) == sorted(wanted.collect()) and wanted.count() == 40
+    index.apply(spark.createDataFrame([(1, None, "D", 2), (2, "x the", "U", 2)], "id long, body string, __op string, __version long"))
+    for limit in (0, 10):  # versions that no longer count, shuffled and sent to every task
+        monkeypatch.setattr(textsearch, "OUTDATED_ROWS", limit)
+        assert sorted(tuple(r) for r in index.outdated().collect()) == [(1, 1), (2, 1)]
+        assert {r["key"]: r["hits"] for r in index.prefix("th").collect()} == {i: 1 + (i != 2) for i in range(40) if i != 1}
+    index.merge(ranges=2)
+    assert store.list_files("docs_postings").count() > 4 and index.outdated().isEmpty()
+
+
 def test_a_long_stretch_is_several_files_of_one_batch(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(replay, "FILE_ROWS", 100)
     monkeypatch.setattr(replay, "LEAST_ROWS", 20)

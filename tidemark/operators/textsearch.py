@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.intervals import latest
-from tidemark.session import materialize
+from tidemark.session import discard, materialize
 from tidemark.sources.lake import Lake
 
 SEPARATORS = r"[^a-z0-9\x80-￿]+"
 #: A character of a word, in either case (patterns that ignore case do so for A-Z alone), and no half of a pair.
 INSIDE = r"[A-Za-z0-9\x80-\uD7FF\uE000-\uFFFF]"
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Postings in a file of an index, and in a batch that leaves Python.
+RANGE_ROWS, BATCH_ROWS = 2_000_000, 50_000
+#: Versions that no longer count up to which they go to every task.
+OUTDATED_ROWS = 500_000
 
 
 def terms(text: Column) -> Column:
@@ -71,18 +79,19 @@ class TextIndex:
                 lake.create_table(table, wanted)
 
     def posted(self, texts: DataFrame) -> DataFrame:
-        """term, field, key, version, positions (from 0) of rows with key, version and the fields."""
-        found: DataFrame | None = None
-        for field in self.fields:
-            words = texts.select("key", "version", F.posexplode(terms(F.col(field))).alias("position", "term"))
-            some = words.groupBy("term", F.lit(field).alias("field"), "key", "version").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-            found = some if found is None else found.unionByName(some)
-        return found
+        """term, field, key, version, positions (from 0) of rows with key, version and the fields; a row's words meet in its own task."""
+        kinds = T.StructType([T.StructField("term", T.StringType()), T.StructField("field", T.StringType()), *(texts.schema[c] for c in ("key", "version")), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+        return texts.select("key", "version", *[F.col(f).cast("binary").alias(f) for f in self.fields]).mapInArrow(postings(self.fields), kinds)
+
+    def in_ranges(self, held: DataFrame, rows: int, least: int | None) -> DataFrame:
+        """Postings sorted by term, in ``least`` ranges, or more where there are many ``rows``."""
+        ranges = max(least or 1, -(-rows // RANGE_ROWS))
+        return held.repartitionByRange(ranges, "term", "key").sortWithinPartitions("term", "field", "key")
 
     def apply(self, changes: DataFrame, op: str = "__op", order: str = "__version", ranges: int | None = None) -> int | None:
         """Changes (key, fields, ``op``: D deletes, ``order``) into the index, as one commit; the last image of a key counts.
 
-        Orders up to the last one applied are left out; None where nothing is new.
+        Orders up to the last one applied are left out; None where nothing is new. ``ranges`` is the least number of files.
         """
         last = self.reached()
         fresh = changes.where(F.col(order) > last) if last is not None else changes
@@ -91,10 +100,12 @@ class TextIndex:
         upto = images.agg(F.max("version")).first()[0]
         if upto is None:
             return None
-        held = self.posted(images.where("live"))
-        held = (held.repartitionByRange(ranges, "term", "key") if ranges else held.repartitionByRange("term", "key")).sortWithinPartitions("term", "field", "key")
+        held = materialize(self.posted(images.where("live")), "postings")
         mark = {"commit_extra_info": json.dumps({"index": self.postings, "upto": upto})}
-        return self.lake.write_all({self.postings: held, self.rows: images.select("key", "version", "live")}, provenance=mark)
+        made = self.lake.write_all({self.postings: self.in_ranges(held, held.count(), ranges), self.rows: images.select("key", "version", "live")}, provenance=mark)
+        discard(held)
+        discard(images)
+        return made
 
     def reached(self) -> int | None:
         """The last order applied, from the lake's log."""
@@ -104,18 +115,30 @@ class TextIndex:
     def live(self, version: int | None = None) -> DataFrame:
         return latest(self.lake.read(self.rows, version=version), ["key"], ["version"]).where("live").select("key", "version")
 
-    def of(self, low: str, high: str, field: str | None, version: int | None) -> DataFrame:
+    def outdated(self, version: int | None = None) -> DataFrame:
+        """key, version of postings that no longer count, as their rows have changed or gone since: few against the postings."""
+        rows = self.lake.read(self.rows, version=version)
+        held = rows.groupBy("key").agg(F.max("version").alias("last"), F.collect_list(F.when(F.col("live"), F.col("version"))).alias("held"))
+        return materialize(held.select("key", F.explode(F.filter("held", lambda v: v < F.col("last"))).alias("version")), "outdated")
+
+    def counting(self, found: DataFrame, outdated: DataFrame) -> DataFrame:
+        """Postings that count. They are not shuffled to be told from the rest, unless that is large."""
+        rest = F.broadcast(outdated) if outdated.count() <= OUTDATED_ROWS else outdated.hint("shuffle_hash")
+        return found.where("key IS NOT NULL").join(rest, ["key", "version"], "left_anti")
+
+    def of(self, low: str, high: str, field: str | None, version: int | None, outdated: DataFrame | None = None) -> DataFrame:
         """Postings that count, of terms in a range, both ends included."""
         found = self.lake.read(self.postings, version=version, where=[("term", ">=", low), ("term", "<=", high)])
         found = found.where(F.col("field") == field) if field else found
-        return found.join(self.live(version), ["key", "version"], "left_semi")
+        return self.counting(found, self.outdated(version) if outdated is None else outdated)
 
     def words(self, query: str, field: str | None = None, version: int | None = None) -> DataFrame:
         """key, hits: rows that have every word of ``query``, with how often they have any."""
         wanted = words_of(query)
+        outdated = self.outdated(version) if wanted else None
         found: DataFrame | None = None
         for word in sorted(set(wanted)):
-            some = self.of(word, word, field, version).groupBy("key", "term").agg(F.sum(F.size("positions")).alias("tf"))
+            some = self.of(word, word, field, version, outdated).groupBy("key", "term").agg(F.sum(F.size("positions")).alias("tf"))
             found = some if found is None else found.unionByName(some)
         if found is None:
             return self.live(version).select("key", F.lit(0).cast("bigint").alias("hits"))
@@ -125,9 +148,10 @@ class TextIndex:
     def phrase(self, query: str, field: str | None = None, version: int | None = None) -> DataFrame:
         """key, hits: rows in which the words stand one after the other, with how often."""
         wanted = words_of(query)
+        outdated = self.outdated(version) if wanted else None
         found: DataFrame | None = None
         for place, word in enumerate(wanted):
-            some = self.of(word, word, field, version).select("key", "field", F.lit(place).alias("place"), F.transform("positions", lambda p: p - place).alias("begins"))
+            some = self.of(word, word, field, version, outdated).select("key", "field", F.lit(place).alias("place"), F.transform("positions", lambda p: p - place).alias("begins"))
             found = some if found is None else found.unionByName(some)
         if found is None:
             return self.live(version).select("key", F.lit(0).cast("bigint").alias("hits"))
@@ -148,12 +172,46 @@ class TextIndex:
 
     def merge(self, ranges: int | None = None) -> None:
         """Rewrite the postings that count, sorted anew, and each row's last version; older versions of the lake stay as they are."""
-        held = self.lake.read(self.postings).join(self.live(), ["key", "version"], "left_semi")
-        held = (held.repartitionByRange(ranges, "term", "key") if ranges else held.repartitionByRange("term", "key")).sortWithinPartitions("term", "field", "key")
+        every = self.lake.read(self.postings)
+        held = self.in_ranges(self.counting(every, self.outdated()), every.count(), ranges)
         self.lake.replace(self.postings, held, changes=f"compacted_table:{self.postings}")
         self.lake.replace(self.rows, latest(self.lake.read(self.rows), ["key"], ["version"]), changes=f"compacted_table:{self.rows}")
 
 
+def postings(fields: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches of key, version and texts as bytes: a row for each word of a text, with its positions."""
+    pattern = re.compile("[a-z0-9\x80-\uffff]+")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for field in fields:
+                words: list[str] = []
+                rows: list[int] = []
+                ends, places = [0], []
+
+                def made(batch: pa.RecordBatch = batch, field: str = field) -> pa.RecordBatch:
+                    own = batch.select(["key", "version"]).take(pa.array(rows, pa.int64()))  # noqa: B023
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))  # noqa: B023
+                    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([field] * len(words), pa.string()), *own.columns, lists], ["term", "field", "key", "version", "positions"])  # noqa: B023
+
+                for number, text in enumerate(batch.column(field)):
+                    held: dict[str, list[int]] = {}
+                    for place, word in enumerate(pattern.findall((text.as_py() or b"").translate(LOWER).decode("utf-8", "replace"))):
+                        held.setdefault(word, []).append(place)
+                    words.extend(held)
+                    rows.extend([number] * len(held))
+                    for some in held.values():
+                        places.extend(some)
+                        ends.append(len(places))
+                    if len(words) >= BATCH_ROWS or len(places) >= 8 * BATCH_ROWS:
+                        yield made()
+                        words, rows, ends, places = [], [], [0], []
+                if words:
+                    yield made()
+
+    return post
+
+
 def words_of(query: str) -> list[str]:
     """The words of a query, cut as texts are."""
     return [w for w in re.split("[^a-z0-9\x80-￿]+", query.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
