@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,47 @@ def test_an_index_grows_by_files_and_its_words_are_not_shuffled_one_by_one(spark
     assert store.list_files("docs_postings").count() > 4 and index.outdated().isEmpty()
 
 
+def test_postings_of_a_word_share_rows_and_files_of_an_index_stay_small(spark, tmp_path):
+    store = lake.Lake(spark, f"file://{tmp_path}/lake").init()
+    index = textsearch.TextIndex(store, "docs", ["title", "body"], "id", "varchar")
+    body = " ".join(f"w{i % 50}" for i in range(100))
+    made = [(f"k{i}", f"t{i % 3}", body, "U", 1) for i in range(400)] + [("k1", "t1", "old the", "U", 0), ("k2", "t2", "gone", "D", 2), ("k3", None, body + " the", None, 1)]
+    before = spark.conf.get("spark.sql.parquet.compression.codec"), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    index.apply(spark.createDataFrame(made, "id string, title string, body string, __op string, __version long").coalesce(2), ranges=2)
+    assert (spark.conf.get("spark.sql.parquet.compression.codec"), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")) == before
+    kept = {r["key"] for r in index.live().collect()}
+    assert kept - {"k3"} == {f"k{i}" for i in range(400)} - {"k2", "k3"}  # of the images of k3, which are of one order, either counts
+    size = lambda: store.list_files("docs_postings").where("end_snapshot IS NULL").agg(F.sum("file_size_bytes")).first()[0]
+    for merged in (False, True):
+        if merged:
+            index.merge(ranges=2)
+        held = store.read("docs_postings")
+        postings, rows = held.agg(F.sum("n"), F.count(F.lit(1))).first()
+        assert postings > 20_000 and rows < postings / 10 and size() < 2 * postings + 20_000
+        assert {r["key"]: r["hits"] for r in index.words("w7").collect()} == dict.fromkeys(kept, 2)
+        assert {r["key"] for r in index.prefix("T1", "title").collect()} == {k for k in kept if k != "k3" and int(k[1:]) % 3 == 1}
+        assert index.words("old").isEmpty() and index.phrase("gone").isEmpty() and index.phrase("w49 w0 w1").count() == len(kept)
+        some = index.of("w7", "w7", "body", None).where("key = 'k9'").first()
+        assert (some["field"], some["version"], some["positions"]) == ("body", 1, [7, 57])
+    assert held.where("term = 'gone' OR term = 'old'").isEmpty()
+
+
+def test_blocks_give_back_what_was_packed():
+    far = " ".join(["a"] + ["b"] * 20_000 + ["a", "zß"] + ["c"] * 200 + ["a"])
+    texts = [far, None, "a", "", "a a", "x"] + ["a"] * 300
+    columns = [pa.array([*range(5), None, *range(6, 306)]), pa.array([1] * 306), pa.array([True] * 4 + [False] + [True] * 301), pa.array([t and t.encode() for t in texts], pa.binary())]
+    made = list(textsearch.postings(["t"])(iter([pa.RecordBatch.from_arrays(columns, ["key", "version", "live", "text0"])])))
+    assert made[-1].column("keys").to_pylist() == [[*range(5), None, *range(6, 306)]] and made[-1].column("term").null_count == 1
+    blocks = made[0].slice(1)  # a batch that does not begin where its buffers do
+    got = {(r["term"], r["row"]): r["positions"] for r in pa.Table.from_batches(textsearch.unpacked(iter(made[:1]))).to_pylist()}
+    assert got == {("a", 0): [0, 20_001, 20_203], ("b", 0): [*range(1, 20_001)], ("zß", 0): [20_002], ("c", 0): [*range(20_003, 20_203)], ("a", 2): [0]} | {("a", i): [0] for i in range(6, 306)}
+    assert [b for b in made[0].column("term").to_pylist() if b == "a"] == ["a", "a"]
+    bits = next(textsearch.bits_of(iter([pa.RecordBatch.from_pydict({"chunk": [1], "kept": [[6, 8, 300]]})])))["bits"][0].as_py()
+    sifted = textsearch.sifted(iter([pa.RecordBatch.from_arrays([*blocks.columns[:5], pa.array([bits] * len(blocks))], [*blocks.schema.names[:5], "bits"])]))
+    left = pa.Table.from_batches(textsearch.unpacked(sifted)).to_pylist()
+    assert {(r["term"], r["row"]) for r in left} <= {("a", i) for i in (6, 8, 300)} and ("a", 300) in {(r["term"], r["row"]) for r in left}
+
+
 def test_a_long_stretch_is_several_files_of_one_batch(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(replay, "FILE_ROWS", 100)
     monkeypatch.setattr(replay, "LEAST_ROWS", 20)

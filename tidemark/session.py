@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +79,20 @@ def discard(df: DataFrame) -> None:
         return
 
 
+@contextmanager
+def sparing(spark: SparkSession) -> Iterator[None]:
+    """Writes within take less disk: files are packed by zstd, and files of a shuffle go when the job that needs them ends."""
+    wanted = {"spark.sql.parquet.compression.codec": "zstd", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all scratch tables under the shared folder: call it once the results that read them are written."""
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
